@@ -1,8 +1,9 @@
 """Registered training-data queries: opN_<name> applies operator N to its whole table."""
 
-from . import bpe
+from . import bpe, langid
 
 QUERIES = {
+    "op1_langid": langid.op1,
     "op7_bpe": bpe.op7,
 }
 ORACLES: dict[str, str] = {}
