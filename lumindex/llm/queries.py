@@ -1,9 +1,11 @@
 """Registered training-data queries: opN_<name> applies operator N to its whole table."""
 
-from . import bpe, langid
+from . import bpe, langid, minhash, token_count
 
 QUERIES = {
     "op1_langid": langid.op1,
+    "op2_minhash": minhash.op2,
+    "op4_token_count": token_count.op4,
     "op7_bpe": bpe.op7,
 }
 ORACLES: dict[str, str] = {}

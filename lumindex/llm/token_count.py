@@ -4,7 +4,7 @@ The pieces of a sentencepiece file are the vocabulary. A unigram file's scores a
 kind has no log probabilities, so Zipf's rule gives them: ``-ln(rank + 2)`` for a piece's rank among the pieces. A text is
 normalised as the file says (a leading space, spaces as U+2581); the best segmentation is the one that the tokenizer
 finds: sums are rounded to single precision after every piece, and of equal sums the one whose last piece starts first
-is kept. Characters without a piece cost the lowest score less 10 and count as their UTF-8 bytes.
+is kept; once the sum at a start is below -100,000 it counts from 0 again. Characters without a piece cost the lowest score less 10 and count as their UTF-8 bytes.
 
 No piece of such a vocabulary holds U+2581 after another character, nor a character that is in no piece, so texts fall
 apart there and a worker remembers stretches: the scores of the best path, its number of pieces and the margin by which
@@ -32,6 +32,7 @@ from . import common
 
 SPACE = "▁"
 PENALTY = 10.0  # what an unknown character costs beyond the lowest score (the tokenizer's fixed value)
+RESET = -100_000.0  # below this sum the tokenizer counts from 0 again, to keep its precision (its fixed value)
 MEMO = 400_000  # stretches that a worker remembers at a time
 SHORT = 64  # characters of a stretch that is remembered
 EXACT = 1 << 24  # float spacings in a power of two of single precision
@@ -154,7 +155,7 @@ class Counter:
         if not text:
             return 0, 0.0
         text = text.replace(" ", SPACE)
-        base, total, memo = 0.0, 0, self.memo.get
+        base, gone, total, memo = 0.0, 0.0, 0, self.memo.get
         # Sums down to -edge are multiples of unit in single precision; adding and taking away magic rounds to them.
         edge, unit, magic = 0.0, 0.0, 0.0
         for part in self.split.findall(SPACE + text if self.prefix else text):
@@ -172,15 +173,46 @@ class Counter:
                 edge = ldexp(1.0, frexp(after)[1]) if after else 0.0
                 unit = edge / EXACT
                 magic = unit * MAGIC
-            if lead <= unit:
+            if after < RESET:
+                after, n, lost = self.crossing(part, base)
+                gone += lost
+            elif lead <= unit:
                 best, count, *_ = self.viterbi(part, base, single)
                 after, n = best[-1], count[-1]
-                if after <= -edge:
-                    edge = ldexp(1.0, frexp(after)[1])
-                    unit = edge / EXACT
-                    magic = unit * MAGIC
+            if after < RESET or lead <= unit or after > base:
+                if after < RESET:
+                    gone, after = gone + after, 0.0
+                edge = ldexp(1.0, frexp(after)[1]) if after else 0.0
+                unit = edge / EXACT
+                magic = unit * MAGIC
             base, total = after, total + n
-        return total, base
+        return total, base + gone
+
+    def crossing(self, text: str, base: float) -> tuple[float, int, float]:
+        """A stretch in which sums fall below ``RESET``: the tokenizer then counts from 0 again, taking the sum at that start from all sums ahead."""
+        n, by, gone = len(text), {}, 0.0
+        for end, (size, score) in self.automaton.iter(text):
+            by.setdefault(end + 1 - size, []).append((size, score))
+        longest = max((size for found in by.values() for size, _ in found), default=1)
+        best: list = [None] * (n + 1)
+        count = [0] * (n + 1)
+        best[0] = base
+        for at in range(n):
+            if best[at] < RESET:
+                less = best[at]
+                gone += less
+                for k in range(at, min(n, at + longest) + 1):
+                    if best[k] is not None:
+                        best[k] = single(best[k] - less)
+            found = by.get(at, [])
+            if all(size > 1 for size, _ in found):
+                found = [*found, (1, None)]
+            for size, score in found:
+                s = single(best[at] + (self.unknown if score is None else score))
+                if best[at + size] is None or s > best[at + size]:
+                    best[at + size] = s
+                    count[at + size] = count[at] + (len(text[at].encode("utf-8", "surrogatepass")) if score is None else 1)
+        return best[-1], count[-1], gone
 
 
 @lru_cache(maxsize=4)
