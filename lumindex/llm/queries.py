@@ -1,11 +1,12 @@
 """Registered training-data queries: opN_<name> applies operator N to its whole table."""
 
-from . import bpe, langid, minhash, token_count
+from . import bpe, langid, minhash, suffix_dedup, token_count
 
 QUERIES = {
     "op1_langid": langid.op1,
     "op2_minhash": minhash.op2,
     "op4_token_count": token_count.op4,
     "op7_bpe": bpe.op7,
+    "op8_suffix_dedup": suffix_dedup.op8,
 }
 ORACLES: dict[str, str] = {}
