@@ -1,6 +1,6 @@
 """Registered training-data queries: opN_<name> applies operator N to its whole table."""
 
-from . import bpe, langid, minhash, suffix_dedup, token_count
+from . import bpe, langid, minhash, packing, suffix_dedup, token_count, warc
 
 QUERIES = {
     "op1_langid": langid.op1,
@@ -8,5 +8,7 @@ QUERIES = {
     "op4_token_count": token_count.op4,
     "op7_bpe": bpe.op7,
     "op8_suffix_dedup": suffix_dedup.op8,
+    "op9_packing": packing.op9,
+    "op10_warc": warc.op10,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op10_warc": warc.OP10_SQL}
