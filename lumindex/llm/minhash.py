@@ -29,7 +29,6 @@ ROWS = 5  # samples in a band
 MISS = 4e-6  # chance that a pair right at the threshold shares no band
 WIDTH = 8  # 64-bit words of an odd sketch
 SIGMAS = 5.5  # how far below the threshold a sketch may estimate a pair that is still verified
-BLOCK = 2000  # members of a bucket that one salt of the second round holds
 MEMO = 300_000  # words whose hashes a worker remembers at a time
 
 
@@ -161,39 +160,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) ->
         .select("fp", F.col("m.doc_id").alias("node"), F.col("m.n").alias("n"), F.col("m.bands").alias("bands"), *[F.col("m.sketch")[i].alias(f"k{i}") for i in range(WIDTH)]),
         "nodes",
     )
-    keyed = nodes.select(F.explode("bands").alias("key"), "node")
-    buckets = keyed.groupBy("key").agg(F.min("node").alias("a"), F.count("*").alias("size")).where("size > 1")
-    member = scratch.save(keyed.join(buckets, "key").select("key", "node", "a", "size"), "member")
     light = nodes.select("node", "n", *[f"k{i}" for i in range(WIDTH)])
-    stars = member.where("a < node").select("a", F.col("node").alias("b")).distinct()
-    tried = scratch.save(
-        stars.alias("s").join(light.alias("x"), F.col("s.a") == F.col("x.node")).join(light.alias("y"), F.col("s.b") == F.col("y.node"))
-        .select("s.a", "s.b", likely(plan, "x", "y").alias("ok")),
-        "tried",
-    )
     # Rows that share a doc_id but not a text are one node, as equal sets are.
-    links = confirmed(docs, tried.where("ok").select("a", "b").distinct(), plan, scratch, "links1")
-    cc = common.components(links, scratch, "cc1")
-    at = member.join(cc, "node", "left").select("key", "size", "node", "a", F.coalesce("component", "node").alias("c"))
-    mixed = at.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.max(F.when(F.col("node") == F.col("a"), F.col("c"))).alias("main")).where("low < high").select("key", "main")
-    rows = (
-        at.where("size > 2").join(mixed, "key").join(light, "node")
-        .withColumn("salts", F.ceil(F.col("size") / BLOCK).cast("int"))
-        .withColumn("salt", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int"))
-    )
-    rows = scratch.save(rows, "rows")
-    probes = rows.where("c <> main").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
-    x, y = probes.alias("x"), rows.alias("y")
-    # Two members outside the main component meet twice; the second time is left out.
-    once = (F.col("y.c") == F.col("y.main")) | (F.col("x.node") < F.col("y.node"))
-    more = (
-        x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.salt") == F.col("y.salt")) & (F.col("x.c") != F.col("y.c")) & once & likely(plan, "x", "y"))
-        .select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
-        .join(tried.select("a", "b"), ["a", "b"], "left_anti")
-    )
-    more = scratch.save(more, "more")
-    found = confirmed(docs, more, plan, scratch, "links2")
-    cc = common.components(links.unionByName(found).unionByName(cc.select(F.col("node").alias("a"), F.col("component").alias("b"))), scratch, "cc2")
+    cc = common.linked(nodes.select(F.explode("bands").alias("key"), "node"), light, lambda x, y: likely(plan, x, y), lambda pairs, name: confirmed(docs, pairs, plan, scratch, name), scratch)
     result = (
         sigs.select("doc_id", "n", "fp").join(nodes.select("fp", "node"), "fp", "left").join(cc, "node", "left")
         .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "node", "doc_id").alias("component_id"))
