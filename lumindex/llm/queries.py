@@ -1,5 +1,7 @@
 """Registered training-data queries: opN_<name> applies operator N to its whole table."""
 
+import corpus_pipeline
+
 from . import bpe, embedding_dedup, hnsw, langid, line_dedup, minhash, packing, suffix_dedup, token_count, warc
 
 QUERIES = {
@@ -14,4 +16,5 @@ QUERIES = {
     "op9_packing": packing.op9,
     "op10_warc": warc.op10,
 }
+QUERIES["pipeline"] = corpus_pipeline.run
 ORACLES: dict[str, str] = {"op10_warc": warc.OP10_SQL}
