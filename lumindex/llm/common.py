@@ -101,14 +101,15 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def linked(keyed: DataFrame, light: DataFrame, likely, confirm, scratch: Scratch, block: int = 2000) -> DataFrame:
+def linked(keyed: DataFrame, light: DataFrame, likely, confirm, scratch: Scratch, block: int = 2000, known: DataFrame | None = None) -> DataFrame:
     """Components over confirmed links between nodes that share a bucket, as ``(node, component)``.
 
     ``keyed(key, node)`` has the buckets; ``light(node, ...)`` what ``likely(x, y)``, a condition on two aliases of it, looks
     at; ``confirm(pairs, name)`` writes the pairs ``(a, b)`` that are links. First every member meets its bucket's
     smallest node only (a star, never all pairs). What that can miss are links of members outside the centre's
     component: in buckets that still hold several components, these members, copied to each of the bucket's salts of
-    ``block`` members, meet all others of other components inside one join whose condition lets only likely pairs out.
+    ``block`` members, meet all others of other components inside one join whose condition lets only likely pairs out. ``known(a, b)``
+    are links found before.
     """
     buckets = keyed.groupBy("key").agg(F.min("node").alias("a"), F.count("*").alias("members")).where("members > 1")
     member = scratch.save(keyed.join(buckets, "key").select("key", "node", "a", "members"), "member")
@@ -119,6 +120,7 @@ def linked(keyed: DataFrame, light: DataFrame, likely, confirm, scratch: Scratch
         "tried",
     )
     links = confirm(tried.where("ok").select("a", "b").distinct(), "links1")
+    links = links if known is None else links.unionByName(known)
     cc = components(links, scratch, "cc1")
     at = member.where("members > 2").join(cc, "node", "left").select("key", "members", "node", "a", F.coalesce("component", "node").alias("c"))
     mixed = at.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.max(F.when(F.col("node") == F.col("a"), F.col("c"))).alias("main")).where("low < high").select("key", "main")

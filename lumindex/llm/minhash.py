@@ -5,9 +5,9 @@ Words are runs of bytes outside space and 0x09-0x0D of the text with A-Z lower-c
 become one node. A node's MinHash samples are split into bands; its odd sketch is the parity bitmap of all samples.
 Candidates are a band bucket's members with the bucket's smallest node (a star, never all pairs); the population count
 of two sketches' XOR and the two sizes leave those that may reach the threshold; full sets confirm the links.
-What a star can miss is a link between two members of which one is not in the centre's component: buckets that hold
-several components after the first round are joined again, members of other components (dealt over salts)
-against all members, with sizes and sketches compared inside the join, so that only likely pairs come out.
+What a star can miss are links between its members: members that their centre does not link meet the others of the star
+by what sets each apart from the centre (``around``). Members far from their centre form buckets again without it, for
+``TURNS`` turns; the few buckets left after that go through ``common.linked``, which compares what may still be linked.
 
 Defined results: null texts and texts without words have an empty set and link with nothing; null doc_ids are kept, with
 a null component; rows that share a doc_id are one node; columns other than doc_id and text are not looked at.
@@ -29,6 +29,8 @@ ROWS = 5  # samples in a band
 MISS = 4e-6  # chance that a pair right at the threshold shares no band
 WIDTH = 8  # 64-bit words of an odd sketch
 SIGMAS = 5.5  # how far below the threshold a sketch may estimate a pair that is still verified
+BLOCK = 2000  # members of a star that one block holds
+TURNS = 2
 MEMO = 300_000  # words whose hashes a worker remembers at a time
 
 
@@ -136,18 +138,74 @@ def likely(plan: Plan, x: str, y: str):
     return (small * plan.den >= large * plan.num) & (flips <= plan.flips)
 
 
-def confirmed(docs: DataFrame, pairs: DataFrame, plan: Plan, scratch: common.Scratch, name: str) -> DataFrame:
-    """The pairs ``(a, b)`` whose full sets reach the threshold."""
+def measured(docs: DataFrame, pairs: DataFrame, plan: Plan, scratch: common.Scratch, name: str, deltas: bool) -> DataFrame:
+    """The pairs ``(a, b)`` with ``link``, whether their full sets reach the threshold, n of b, and what sets b apart from a."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     s = scratch.save(sets(docs.join(common.small(ids), "doc_id", "left_semi"), plan.k), f"{name}_sets")
     both = pairs.join(s.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), "a").join(s.select(F.col("doc_id").alias("b"), F.col("s").alias("sb")), "b")
-    common_size = F.size(F.array_intersect("sa", "sb"))
-    union = F.size("sa") + F.size("sb") - common_size
-    out = scratch.save(both.where(common_size.cast("long") * plan.den >= union.cast("long") * plan.num).select("a", "b").distinct(), name)
+    same = F.size(F.array_intersect("sa", "sb")).cast("long")
+    union = F.size("sa") + F.size("sb") - same
+    delta = F.concat(F.array_except("sa", "sb"), F.array_except("sb", "sa")) if deltas else F.array().cast("array<long>")
+    out = both.select("a", "b", (same * plan.den >= union * plan.num).alias("link"), (same * 20 >= union * 16).alias("close"), F.size("sb").cast("long").alias("n"), delta.alias("delta"))
+    out = scratch.save(out, name)
     scratch.free(f"{name}_sets")
     return out
 
 
+def around(met: DataFrame, plan: Plan) -> DataFrame:
+    """Links between members of a star that its centre does not link: ``(a, b)``.
+
+    Two sets' symmetric difference is that of what sets each apart from the centre, so those short lists give the exact
+    similarity. Members that are not linked with the centre meet all others, a block of ``BLOCK`` against a block at a time;
+    a block returns a spanning forest of its links.
+    """
+    sizes = met.groupBy("a").agg(F.count("*").alias("members"), F.sum(F.when(~F.col("link"), 1).otherwise(0)).alias("loose")).where("loose > 0 and members > 1")
+    rows = met.join(sizes, "a").withColumn("rows", F.ceil(F.col("members") / BLOCK).cast("int")).withColumn("cols", F.ceil(F.col("loose") / BLOCK).cast("int"))
+    place = lambda n: F.pmod(F.xxhash64("b"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    cols = ["a", "b", "n", "delta"]
+    targets = rows.withColumn("y", place("rows")).withColumn("x", every("cols")).select(*cols, "x", "y", F.lit(False).alias("probe"))
+    probes = rows.where("not link").withColumn("x", place("cols")).withColumn("y", every("rows")).select(*cols, "x", "y", F.lit(True).alias("probe"))
+
+    def meet(t: pa.Table) -> pa.Table:
+        probe = np.asarray(t.column("probe").combine_chunks().to_numpy(zero_copy_only=False), bool)
+        node, n = t.column("b").to_numpy(), t.column("n").to_numpy()
+        lists = t.column("delta").combine_chunks()
+        ends, values = np.asarray(lists.offsets), np.asarray(lists.values)
+        size = np.diff(ends)
+        at = np.flatnonzero(~probe)
+        where = np.repeat(np.arange(len(at)), size[at])
+        flat = np.concatenate([values[ends[i] : ends[i + 1]] for i in at]) if len(at) else np.empty(0, np.int64)
+        order = np.argsort(flat, kind="stable")
+        flat, where = flat[order], where[order]
+        out: list[tuple[int, int]] = []
+        for i in np.flatnonzero(probe):
+            own = values[ends[i] : ends[i + 1]]
+            lo, hi = np.searchsorted(flat, own), np.searchsorted(flat, own, "right")
+            hits = [where[x:z] for x, z in zip(lo.tolist(), hi.tolist(), strict=True) if z > x]
+            both = np.bincount(np.concatenate(hits), minlength=len(at)) if hits else np.zeros(len(at), np.int64)
+            apart = size[i] + size[at] - 2 * both
+            same = (n[i] + n[at] - apart) // 2
+            for j in at[(same * plan.den >= (n[i] + n[at] - same) * plan.num) & (node[at] != node[i])]:
+                out.append((int(node[i]), int(node[j])))
+        kept, parent = [], {}
+
+        def root(x: int) -> int:
+            while parent.setdefault(x, x) != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        for x, y in out:
+            rx, ry = root(x), root(y)
+            if rx != ry:
+                parent[rx] = ry
+                kept.append((x, y))
+        return pa.table({"a": pa.array([x for x, _ in kept], pa.int64()), "b": pa.array([y for _, y in kept], pa.int64())})
+
+    return targets.unionByName(probes).groupBy("a", "x", "y").applyInArrow(meet, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> DataFrame:
     """Per row of ``docs(doc_id, text)``: doc_id, n_shingles, component_id (smallest doc_id reachable), kept."""
     spark = docs.sparkSession
@@ -162,7 +220,26 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) ->
     )
     light = nodes.select("node", "n", *[f"k{i}" for i in range(WIDTH)])
     # Rows that share a doc_id but not a text are one node, as equal sets are.
-    cc = common.linked(nodes.select(F.explode("bands").alias("key"), "node"), light, lambda x, y: likely(plan, x, y), lambda pairs, name: confirmed(docs, pairs, plan, scratch, name), scratch)
+    member, links, tried = nodes.select(F.explode("bands").alias("key"), "node"), None, None
+    for turn in range(TURNS):
+        centre = member.groupBy("key").agg(F.min("node").alias("a"), F.count("*").alias("members")).where("members > 1").select("key", "a")
+        member = scratch.save(member.join(centre, "key").select("key", "node", "a"), f"member{turn}")
+        stars = member.where("a < node").select("a", F.col("node").alias("b")).distinct()
+        if tried is not None:
+            stars = stars.join(tried, ["a", "b"], "left_anti")
+        judged = scratch.save(
+            stars.alias("s").join(light.alias("x"), F.col("s.a") == F.col("x.node")).join(light.alias("y"), F.col("s.b") == F.col("y.node"))
+            .select("s.a", "s.b", likely(plan, "x", "y").alias("ok")),
+            f"judged{turn}",
+        )
+        met = measured(docs, judged.where("ok").select("a", "b"), plan, scratch, f"met{turn}", True)
+        found = met.where("link").select("a", "b").unionByName(around(met, plan))
+        links = found if links is None else links.unionByName(found)
+        tried = judged.select("a", "b") if tried is None else tried.unionByName(judged.select("a", "b"))
+        # What is close to its centre has met all it can link with; the rest looks for other centres.
+        close = met.where("close").select("a", F.col("b").alias("node"))
+        member = member.where("a < node").join(close, ["a", "node"], "left_anti").select("key", "node")
+    cc = common.linked(member, light, lambda x, y: likely(plan, x, y), lambda pairs, name: measured(docs, pairs, plan, scratch, name, False).where("link").select("a", "b"), scratch, known=scratch.save(links, "links"))
     result = (
         sigs.select("doc_id", "n", "fp").join(nodes.select("fp", "node"), "fp", "left").join(cc, "node", "left")
         .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "node", "doc_id").alias("component_id"))
