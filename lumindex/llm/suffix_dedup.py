@@ -212,7 +212,7 @@ def removed_passages(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     common.small_batches(spark)
     docs = docs.drop("kept", "starts", "ends", "__doc", "__slot", "__digest")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    slots, bits = 2 * parts + 1, max(1, (4 * parts - 1).bit_length())
+    slots, bits = 2 * parts + 1, max(1, (parts - 1).bit_length())
     reach = depth - GRAM
     digit = lambda h: (h >> np.uint64(64 - bits)).astype(np.int64)
     added = [T.StructField("kept", T.BinaryType()), T.StructField("starts", T.ArrayType(T.LongType())), T.StructField("ends", T.ArrayType(T.LongType()))]
