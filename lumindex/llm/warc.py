@@ -157,6 +157,8 @@ class Reader(DataSourceReader):
         return all(TESTS[kind](row[column], value) for column, kind, value in self.filters)
 
     def read(self, partition):
+        if partition is None:  # nothing was planned: the archive has no records
+            return
         fs, _ = opened(self.path)
         rows, size = [], 0
         with fs.open_input_file(partition.path) as f:
