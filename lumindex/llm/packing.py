@@ -73,7 +73,7 @@ def packed(docs: DataFrame, length: Column | None = None, max_len: int = 2048, n
     histogram = {r["n_tokens"]: r["n"] for r in p.groupBy("n_tokens").agg(F.count("*").alias("n")).collect()}  # at most max_len rows
     bounds = best_bounds(histogram, n_buckets)
     shards = max(1, math.ceil(sum(histogram.values()) / SHARD))
-    bucket = F.lit(bounds[-1] if bounds else 0)
+    bucket = F.lit(bounds[-1] if bounds else max_len)
     for b in bounds[-2::-1]:
         bucket = F.when(F.col("n_tokens") <= b, b).otherwise(bucket)
     dealt = p.withColumn("bucket_len", bucket.cast("long")).withColumn("shard", F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(shards)).cast("int"))
