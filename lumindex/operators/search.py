@@ -150,6 +150,23 @@ def status(queries: DataFrame, hits: DataFrame, cfg: SearchConfig, gate: Column
     return queries.join(has, "query_id", "left").join(totals, "query_id", "left").select("query_id", state.alias("status"), F.coalesce("total", F.lit(0)).cast("long").alias("total"))
 
 
+# What makes a page query more than a plain search: each of these leaves it to the caller's own search.
+SPECIAL = ("orderby", "tax_query", "meta_query", "post__in", "author", "year", "monthnum", "day", "bypass")
+
+
+def handled(requests: DataFrame, enabled: Column | None = None) -> Column:
+    """Whether the engine answers a page request: a main front-end search with words and nothing ``SPECIAL``; columns not there count as unset."""
+    has = set(requests.columns)
+    out = F.trim(F.coalesce("q", F.lit(""))) != ""
+    for flag, want in (("is_main", True), ("is_admin", False)):
+        if flag in has:
+            out = out & (F.coalesce(flag, F.lit(False)) == want)
+    for name in SPECIAL:
+        if name in has:
+            out = out & F.coalesce(F.col(name).cast("string"), F.lit("")).isin("", "false", "0")
+    return out if enabled is None else out & F.coalesce(enabled, F.lit(False))
+
+
 def valid_request(q: Column, number: Column, per_page: Column) -> Column:
     """Whether an API request may be answered."""
     return (F.trim(q) != "") & (F.octet_length(q) <= 200) & number.between(1, 1000) & per_page.between(1, 50)

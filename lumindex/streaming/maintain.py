@@ -58,6 +58,10 @@ class Versions:
         index.write(f"{self.folder}/v{number}")
         fs.create(self._path(f"v{number}.done")).close()
 
+    def drop(self) -> None:
+        """All versions go; settings are kept elsewhere."""
+        self._fs().delete(self._path(""), True)
+
     def prune(self, keep: int = 2) -> None:
         for n in self.numbers()[:-keep]:
             self._fs().delete(self._path(f"v{n}.done"), False)

@@ -88,6 +88,12 @@ def test_request_validation(spark):
     assert [r["ok"] for r in df.select(search.valid_request(F.col("q"), F.col("p"), F.col("n")).alias("ok")).collect()] == [True, False, False, False, False]
 
 
+def test_gate(spark):
+    df = spark.createDataFrame([("a", True, None), ("a", False, None), (" ", True, None), ("a", True, "date")], "q string, is_main boolean, orderby string")
+    assert [r["ok"] for r in df.select(search.handled(df).alias("ok")).collect()] == [True, False, False, False]
+    assert [r["ok"] for r in df.select(search.handled(df, F.col("q") == "b").alias("ok")).collect()] == [False] * 4
+
+
 def test_stemmed_index(spark, posts, names):
     cfg = replace(CFG, stemming=True, fuzzy="off", prefix_last=False)
     index = ix.build(posts, names, cfg)
@@ -130,6 +136,8 @@ def test_stream_upkeep_and_replay(spark, posts, names, tmp_path):
     assert sorted(map(tuple, versions.current().terms.collect())) == want
     maintain.apply_batch(versions, spark.read.parquet(source), 0, lambda: (posts, names), CFG)  # the same batch once more
     assert sorted(map(tuple, versions.current().terms.collect())) == want
+    versions.drop()
+    assert versions.current() is None
 
 
 def test_throttle_window_slides_with_accepted_requests(spark):
