@@ -131,6 +131,13 @@ def test_lines(spark):
     assert line_dedup.without_repeats(df).columns == df.columns
 
 
+def test_short_lines_and_lines_without_spaces(spark):
+    """Equal lines of one to three words go too, whatever the script; lines without letters stay."""
+    texts = ["les\nand ornd\nof edti oner\n重复的一行没有空格\n--", "Les\nown\nand  ornd!\nof edti oner\n重复的一行没有空格\n--"]
+    out = {r["doc_id"]: r["text"] for r in line_dedup.without_repeats(docs(spark, texts)).collect()}
+    assert out == {0: texts[0], 1: "own\n--"}
+
+
 def test_fuzzy_lines_are_verified(spark):
     base = " ".join(f"word{i}" for i in range(200))
     near = base.replace("word7 ", "ward7 ")
