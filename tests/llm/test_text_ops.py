@@ -148,6 +148,17 @@ def test_fuzzy_lines_are_verified(spark):
     assert out[1] == int(flips <= 3)
 
 
+def test_fuzzy_lines_are_pruned_by_words(spark):
+    """A long word in place of a short one is one edit, whatever it does to the length in characters."""
+    base = " ".join(f"word{i}" for i in range(100))
+    df = docs(spark, [base, *[base.replace("word7 ", f"{c * 600} ") for c in "abcdefgh"]])
+    by = {r["node"]: r["simhash"] for r in line_dedup.simhashes(line_dedup.lines_of(df, 4)).collect()}
+    code = {r["doc_id"]: by[r["node"]] for r in line_dedup.lines_of(df, 4).collect()}
+    met = {i for i in range(1, 9) if bin((code[0] ^ code[i]) & (1 << 64) - 1).count("1") <= 3}
+    out = {r["doc_id"] for r in line_dedup.repeated_lines(df).where("n_removed = 1").collect()}
+    assert met and met <= out
+
+
 def brute_bounds(hist, k):
     from itertools import combinations
 
