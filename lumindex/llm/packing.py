@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from . import common
+from . import common, token_count
 
 SHARD = 50_000  # pieces that one shard numbers
 
@@ -52,7 +52,7 @@ def best_bounds(histogram: dict[int, int], n_buckets: int) -> list[int]:
 
 
 def words(text: Column) -> Column:
-    """Number of white-space separated words, the default measure of length."""
+    """Number of white-space separated words, a measure of length that needs no vocabulary."""
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
 
 
@@ -88,5 +88,13 @@ def packed(docs: DataFrame, length: Column | None = None, max_len: int = 2048, n
     )
 
 
+def packed_tokens(docs: DataFrame) -> DataFrame:
+    """``packed`` by the tokens that operator 4 counts: the registered query and the pipeline's last stage."""
+    import public_tokenizers
+
+    counted = token_count.token_counts(docs.select("doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model"))
+    return packed(counted, F.col("n_tokens"))
+
+
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packed(common.documents(spark, sf_dir))
+    return packed_tokens(common.documents(spark, sf_dir))

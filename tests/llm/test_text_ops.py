@@ -5,6 +5,7 @@ import pytest
 from helpers import docs
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from lumindex.llm import bpe, langid, line_dedup, packing, token_count
 
 P = pytest.importorskip("public_tokenizers")
@@ -194,3 +195,14 @@ def test_packing(spark):
         assert sorted(slots) == list(range(len(slots))) and len(slots) <= 100 // size
         assert len(slots) == 100 // size or (size, batch + 1) not in by
     assert packing.packed(docs(spark, [None])).count() == 0
+
+
+def test_registered_packing_counts_tokens(spark, tmp_path):
+    texts = ["日本語" * 3000, "YWJjZGVm" * 2000, "two words", None, ""]
+    docs(spark, texts).write.parquet(f"file://{tmp_path}/documents.parquet")
+    c = token_count.counter(P.path("piece_bpe_32k.model"))
+    for out in (packing.op9(spark, f"file://{tmp_path}").collect(), corpus_pipeline.pack(spark, docs(spark, texts), "").collect()):
+        by = {}
+        for r in out:
+            by[r["doc_id"]] = by.get(r["doc_id"], 0) + r["n_tokens"]
+        assert by == {i: c.count(texts[i])[0] for i in range(3)} and by[0] > 2048 and max(r["n_tokens"] for r in out) == 2048
