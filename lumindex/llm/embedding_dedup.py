@@ -3,8 +3,9 @@
 Vectors are compared within a label, by cosine in double precision; equal vectors of a label are one node with a weight.
 Two codebooks, one for each half of the unit vectors, are fitted on at most ``SAMPLE`` vectors chosen by a hash of their id;
 their product is the grid of cells. A vector's multi-sequence visits cells in the order of the sum of its halves'
-squared distances to the two centroids, until the sum exceeds that of its own cell by a limit: the one that reaches
-``RECALL`` of the links that a sample of queries has by brute force in the sample. Every vector is in the index, in its own
+squared distances to the two centroids, until the sum exceeds that of its own cell by a limit: the one that reaches the
+farthest link, by brute force over all vectors, of ``RECALL`` of a sample of queries, each of which counts once; if few
+queries have links outside their cell, what the triangle inequality allows at most. Every vector is in the index, in its own
 cell; visitors meet it there and all pairs found are verified on the original vectors.
 
 Rows travel once for each first-half code they visit. Cells of one first-half code of a label are dealt over salts of
@@ -62,16 +63,25 @@ class MultiIndex:
         self.first = codebook(unit[:, : self.half], codes, 1)
         self.second = codebook(unit[:, self.half :], codes, 2) if unit.shape[1] > 1 else np.zeros((1, 0))
         d1, d2 = self.halves(unit)
-        i, j = d1.argmin(axis=1), d2.argmin(axis=1)
         own = d1.min(axis=1) + d2.min(axis=1)
-        over = []
-        for q in np.linspace(0, len(unit) - 1, min(QUERIES, len(unit))).astype(int):
-            hit = np.flatnonzero((labels == labels[q]) & (unit @ unit[q] >= least))
-            over.append(d1[q, i[hit]] + d2[q, j[hit]] - own[q])
-        over = np.concatenate(over)
-        # By the triangle inequality no link lies further than this from a cell of the sample's width.
-        widest = float((np.sqrt(2 * (1 - least)) + np.sqrt(own.max())) ** 2)
-        self.limit = min(widest, float(np.quantile(over, RECALL)) * 1.1 + 1e-9) if (over > 0).sum() >= 100 else widest
+        self.own = float(own.max())
+        self.pick = np.linspace(0, len(unit) - 1, min(QUERIES, len(unit))).astype(int)
+        self.queries, self.labels = unit[self.pick], labels[self.pick]
+        self.least, self.limit = least, None
+
+    def excess(self, unit: np.ndarray, labels: np.ndarray, nodes: np.ndarray, query_nodes: np.ndarray) -> tuple[np.ndarray, float]:
+        """For each query: how far the farthest of its links in ``unit`` lies beyond its own cell (-inf without one); widest cell."""
+        d1, d2 = self.halves(unit)
+        q1, q2 = self.halves(self.queries)
+        over = q1[:, d1.argmin(axis=1)] + q2[:, d2.argmin(axis=1)] - (q1.min(axis=1) + q2.min(axis=1))[:, None]
+        hit = (self.queries @ unit.T >= self.least) & (self.labels[:, None] == labels[None, :]) & (query_nodes[:, None] != nodes[None, :])
+        return np.where(hit, over, -np.inf).max(axis=1, initial=-np.inf), float((d1.min(axis=1) + d2.min(axis=1)).max(initial=0.0))
+
+    def settle(self, farthest: np.ndarray, own: float) -> None:
+        """The visiting limit from each query's farthest link, one value a query however many links it has."""
+        # By the triangle inequality no link lies further than this from a cell of the widest cell's width.
+        widest = float((np.sqrt(2 * (1 - self.least)) + np.sqrt(max(own, self.own))) ** 2)
+        self.limit = min(widest, float(np.quantile(farthest, RECALL)) * 1.1 + 1e-9) if (farthest > 0).sum() >= 100 else widest
 
     def halves(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         second = distances(unit[:, self.half :], self.second) if self.second.shape[1] else np.zeros((len(unit), 1))
@@ -118,11 +128,39 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93) -> DataFrame:
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.when(ok, F.transform("embedding", lambda x: x.cast("double"))).alias("v"), F.when(ok, F.col("label").cast("string")).alias("label"))
     nodes = scratch.save(rows.where("v is not null").groupBy("label", "v").agg(F.min("vec_id").alias("node"), F.count("*").alias("w")), "nodes")
     dims = {r["d"]: r["n"] for r in nodes.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).collect()}
-    books = {}
+    books, picked = {}, {}
     for d, n in dims.items():
-        sample = nodes.where(F.size("v") == d).orderBy(F.xxhash64("node"), "node").limit(SAMPLE).select("label", "v").toArrow()
+        sample = nodes.where(F.size("v") == d).orderBy(F.xxhash64("node"), "node").limit(SAMPLE).select("label", "v", "node").toArrow()
         codes = int(min(MOST_CODES, max(8, round((n / PER_CELL) ** 0.5))))
         books[d] = MultiIndex(matrix(sample.column("v")), np.array(sample.column("label").to_pylist()), codes, least)
+        picked[d] = sample.column("node").to_numpy()[books[d].pick]
+    unsettled = spark.sparkContext.broadcast((books, picked))
+
+    def reach(batches):
+        """For each query the largest excess of its links in a batch; query -1 has the widest cell."""
+        for b in batches:
+            data, out = b.to_pydict(), {"d": [], "q": [], "far": []}
+            by: dict[int, list[int]] = {}
+            for i, v in enumerate(data["v"]):
+                by.setdefault(len(v), []).append(i)
+            for d, at in by.items():
+                m = np.array([data["v"][i] for i in at])
+                unit = m / np.sqrt((m * m).sum(axis=1))[:, None]
+                book, ids = (x[d] for x in unsettled.value)
+                far, own = book.excess(unit, *(np.array([data[c][i] for i in at]) for c in ("label", "node")), ids)
+                some = np.flatnonzero(np.isfinite(far))
+                out["d"] += [d] * (1 + len(some))
+                out["q"] += [-1, *some.tolist()]
+                out["far"] += [own, *far[some].tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out.values(), (pa.int32(), pa.int32(), pa.float64()), strict=True)], list(out))
+
+    common.small_batches(spark)
+    farthest: dict[int, dict[int, float]] = {d: {} for d in dims}
+    for r in nodes.select("label", "v", "node").mapInArrow(reach, "d int, q int, far double").groupBy("d", "q").agg(F.max("far").alias("far")).collect():  # at most QUERIES + 1 rows a dimension
+        farthest[r["d"]][r["q"]] = r["far"]
+    for d, far in farthest.items():
+        own = far.pop(-1)
+        books[d].settle(np.array(list(far.values())), own)
     shared = spark.sparkContext.broadcast(books)  # two codebooks of at most MOST_CODES centroids a dimension
     PLACED = "part string, visits boolean, node long, w long, cell int, cells array<int>, v array<double>"
 
@@ -150,7 +188,6 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93) -> DataFrame:
             kinds = [pa.string(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.float64())]
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out.values(), kinds, strict=True)], list(out))
 
-    common.small_batches(spark)
     placed = scratch.save(nodes.select("label", "v", "node", "w").mapInArrow(place, PLACED), "placed")
     salts = placed.where("not visits").groupBy("part").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("salts"))
     dealt = placed.join(common.small(salts), "part")

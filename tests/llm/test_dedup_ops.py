@@ -158,6 +158,20 @@ def test_embedding_links(spark):
     assert embedding_dedup.near_duplicates(df.where("false")).count() == 0
 
 
+def test_embedding_links_beside_a_hot_group(spark):
+    """A third of the rows in one tight group does not set the limit for the others."""
+    rng = np.random.default_rng(8)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    triples = np.repeat(unit(rng.normal(size=(800, 64))), 3, axis=0)
+    v = unit(np.concatenate([triples + rng.normal(size=triples.shape) * 0.029, unit(rng.normal(size=64)) + rng.normal(size=(1200, 64)) * 0.002]))
+    df = spark.createDataFrame([(i, x.tolist(), 0) for i, x in enumerate(v)], "vec_id long, embedding array<double>, label int").repartition(3)
+    link = (v @ v.T >= 0.93).sum(axis=1) - 1
+    out = {r["vec_id"]: r["n_links"] for r in embedding_dedup.near_duplicates(df).collect()}
+    got = np.array([out[i] for i in range(len(v))])
+    assert link[:2400].sum() > 1000 and (got <= link).all()
+    assert got[:2400].sum() >= 0.998 * link[:2400].sum() and (got[2400:] == link[2400:]).all()
+
+
 def test_nearest(spark):
     rows, df = vectors(spark)
     q = df.where("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id")
