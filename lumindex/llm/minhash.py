@@ -4,7 +4,8 @@ Words are runs of bytes outside space and 0x09-0x0D of the text with A-Z lower-c
 ``k``-word shingles as 64-bit hashes, or its whole sequence as one if it has fewer words. Documents with equal sets
 become one node. A node's MinHash samples are split into bands; its odd sketch is the parity bitmap of all samples.
 Candidates are a band bucket's members with the bucket's smallest node (a star, never all pairs); the population count
-of two sketches' XOR and the two sizes leave those that may reach the threshold; full sets confirm the links.
+of two sketches' XOR and the two sizes leave those that may reach the threshold or link with a member close to the centre;
+full sets confirm the links.
 What a star can miss are links between its members: members that their centre does not link meet the others of the star
 by what sets each apart from the centre (``around``). Members far from their centre form buckets again without it, for
 ``TURNS`` turns; the few buckets left after that go through ``common.linked``, which compares what may still be linked.
@@ -31,6 +32,7 @@ WIDTH = 8  # 64-bit words of an odd sketch
 SIGMAS = 5.5  # how far below the threshold a sketch may estimate a pair that is still verified
 BLOCK = 2000  # members of a star that one block holds
 TURNS = 2
+CLOSE = 16  # twentieths of similarity with its centre from which on a member has met all it can link with
 MEMO = 300_000  # words whose hashes a worker remembers at a time
 
 
@@ -75,11 +77,16 @@ class Plan:
         rng = np.random.default_rng(20240607)
         self.a = rng.integers(0, 1 << 63, self.samples, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         self.b = rng.integers(0, 1 << 63, self.samples, dtype=np.uint64)
-        # Differing samples expected at the threshold plus some deviations, as set bits of the XOR of two sketches.
+        self.flips = self.flips_at(t)
+        # Jaccard distances obey the triangle inequality: what links with a member close to a centre is this similar to the centre.
+        self.centre_flips = self.flips_at(max(0.0, t + CLOSE / 20 - 1))
+
+    def flips_at(self, t: float) -> int:
+        """Differing samples expected at similarity ``t`` plus some deviations, as set bits of the XOR of two sketches."""
         bits, m = 64 * WIDTH, self.samples
-        differ = m * (1 - t) + SIGMAS * math.sqrt(m * t * (1 - t))
+        differ = min(m, m * (1 - t) + SIGMAS * math.sqrt(m * t * (1 - t)))
         mean = bits / 2 * (1 - math.exp(-4 * differ / bits))
-        self.flips = math.ceil(mean + SIGMAS * math.sqrt(mean) / 2)
+        return math.ceil(mean + SIGMAS * math.sqrt(mean) / 2)
 
     def signature(self, s: np.ndarray) -> tuple[list[int], list[int]]:
         """Band keys and odd sketch of a non-empty set."""
@@ -131,10 +138,12 @@ def sets(docs: DataFrame, k: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, s array<long>")
 
 
-def likely(plan: Plan, x: str, y: str):
-    """Whether sizes and sketches allow the pair to reach the threshold."""
+def likely(plan: Plan, x: str, y: str, centre: bool = False):
+    """Whether sizes and sketches allow the pair to reach the threshold or, with ``centre``, one of it to link with a member close to the other."""
     flips = sum((F.bit_count(F.col(f"{x}.k{i}").bitwiseXOR(F.col(f"{y}.k{i}"))) for i in range(WIDTH)), F.lit(0))
     small, large = F.least(f"{x}.n", f"{y}.n"), F.greatest(f"{x}.n", f"{y}.n")
+    if centre:
+        return (small * plan.den * 20 >= large * plan.num * CLOSE) & (flips <= plan.centre_flips)
     return (small * plan.den >= large * plan.num) & (flips <= plan.flips)
 
 
@@ -146,7 +155,7 @@ def measured(docs: DataFrame, pairs: DataFrame, plan: Plan, scratch: common.Scra
     same = F.size(F.array_intersect("sa", "sb")).cast("long")
     union = F.size("sa") + F.size("sb") - same
     delta = F.concat(F.array_except("sa", "sb"), F.array_except("sb", "sa")) if deltas else F.array().cast("array<long>")
-    out = both.select("a", "b", (same * plan.den >= union * plan.num).alias("link"), (same * 20 >= union * 16).alias("close"), F.size("sb").cast("long").alias("n"), delta.alias("delta"))
+    out = both.select("a", "b", (same * plan.den >= union * plan.num).alias("link"), (same * 20 >= union * CLOSE).alias("close"), F.size("sb").cast("long").alias("n"), delta.alias("delta"))
     out = scratch.save(out, name)
     scratch.free(f"{name}_sets")
     return out
@@ -220,23 +229,20 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) ->
     )
     light = nodes.select("node", "n", *[f"k{i}" for i in range(WIDTH)])
     # Rows that share a doc_id but not a text are one node, as equal sets are.
-    member, links, tried = nodes.select(F.explode("bands").alias("key"), "node"), None, None
+    member, links = nodes.select(F.explode("bands").alias("key"), "node"), None
     for turn in range(TURNS):
         centre = member.groupBy("key").agg(F.min("node").alias("a"), F.count("*").alias("members")).where("members > 1").select("key", "a")
         member = scratch.save(member.join(centre, "key").select("key", "node", "a"), f"member{turn}")
         stars = member.where("a < node").select("a", F.col("node").alias("b")).distinct()
-        if tried is not None:
-            stars = stars.join(tried, ["a", "b"], "left_anti")
         judged = scratch.save(
             stars.alias("s").join(light.alias("x"), F.col("s.a") == F.col("x.node")).join(light.alias("y"), F.col("s.b") == F.col("y.node"))
-            .select("s.a", "s.b", likely(plan, "x", "y").alias("ok")),
+            .select("s.a", "s.b", likely(plan, "x", "y", True).alias("ok")),
             f"judged{turn}",
         )
         met = measured(docs, judged.where("ok").select("a", "b"), plan, scratch, f"met{turn}", True)
         found = met.where("link").select("a", "b").unionByName(around(met, plan))
         links = found if links is None else links.unionByName(found)
-        tried = judged.select("a", "b") if tried is None else tried.unionByName(judged.select("a", "b"))
-        # What is close to its centre has met all it can link with; the rest looks for other centres.
+        # What is close to its centre has met all it can link with, for the star holds all that may; the rest looks for other centres.
         close = met.where("close").select("a", F.col("b").alias("node"))
         member = member.where("a < node").join(close, ["a", "node"], "left_anti").select("key", "node")
     cc = common.linked(member, light, lambda x, y: likely(plan, x, y), lambda pairs, name: measured(docs, pairs, plan, scratch, name, False).where("link").select("a", "b"), scratch, known=scratch.save(links, "links"))

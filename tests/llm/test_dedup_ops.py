@@ -72,6 +72,17 @@ def test_minhash_chains_through_members_of_a_star(spark):
     assert set(out.values()) == {0}
 
 
+def test_minhash_truncated_copies_in_a_large_group(spark):
+    """A copy cut too short for the group's centre is found through the one member it links with."""
+    texts = []
+    for g in range(3):
+        base = [f"g{g}w{i}" for i in range(102)]
+        texts += [" ".join([*base[:94], *(f"g{g}c{j}t{i}" for i in range(8))]) for j in range(40)]
+        texts += [" ".join(base[:94]), " ".join(base[:81])]
+    out = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(docs(spark, texts), 3, 85, 100).collect()}
+    assert out == {i: i // 42 * 42 for i in range(len(texts))}
+
+
 def test_minhash_edges(spark):
     df = docs(spark, ["a b c d e f", "a b c d e f", None])
     odd = df.withColumn("doc_id", F.when(F.col("doc_id") == 2, None).otherwise(F.col("doc_id"))).withColumn("component_id", F.lit("clash")).withColumn("n", F.lit(1))
