@@ -54,6 +54,12 @@ class Scratch:
         for name in names:
             self.fs().delete(self.path(name), True)
 
+    def free_but(self, *names: str) -> None:
+        """Delete all tables except those that what is returned still reads."""
+        for status in self.fs().listStatus(self.path("")):
+            if status.getPath().getName() not in names:
+                self.fs().delete(status.getPath(), True)
+
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` with a broadcast hint when it is counted to hold at most ``rows`` rows, else as it is."""

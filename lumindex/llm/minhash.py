@@ -3,15 +3,18 @@
 Words are runs of bytes outside space and 0x09-0x0D of the text with A-Z lower-cased; a document's set holds its distinct
 ``k``-word shingles as 64-bit hashes, or its whole sequence as one if it has fewer words. Documents with equal sets
 become one node. A node's MinHash samples are split into bands; its odd sketch is the parity bitmap of all samples.
-Candidates are a band bucket's members with the bucket's smallest node (a star, never all pairs); the population count
-of two sketches' XOR and the two sizes leave those that may reach the threshold or link with a member close to the centre;
-full sets confirm the links.
-What a star can miss are links between its members: members that their centre does not link meet the others of the star
-by what sets each apart from the centre (``around``). Members far from their centre form buckets again without it, for
-``TURNS`` turns; the few buckets left after that go through ``common.linked``, which compares what may still be linked.
-
-Defined results: null texts and texts without words have an empty set and link with nothing; null doc_ids are kept, with
-a null component; rows that share a doc_id are one node; columns other than doc_id and text are not looked at.
+
+Candidates are the nodes that share a band bucket. A bucket's members are never paired with each other: buckets whose
+members share smaller neighbours get one common centre (the smallest node two steps away), and each node meets each of
+its centres once. The population count of two sketches' XOR and the two sizes leave pairs that may reach the threshold; full
+sets confirm them. What a centre does not link meets all others of its centre's buckets by what sets each apart from the
+centre (``around``): two sets' symmetric difference is that of these short lists, so sketches leave few pairs, the lists
+decide exactly, and a block of a group returns no more than a spanning forest of its links. Nothing leaves a bucket untested.
+
+Defined results: null texts and texts without words have an empty set and link with nothing; an empty table gives no rows;
+null doc_ids are kept, with a null component; rows that share a doc_id are one node with several sets; very long texts are
+shingled whole (memory follows one text); similarities equal to the threshold link, and of equal candidates the smallest
+doc_id names the group; columns other than doc_id and text are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,9 +33,7 @@ ROWS = 5  # samples in a band
 MISS = 4e-6  # chance that a pair right at the threshold shares no band
 WIDTH = 8  # 64-bit words of an odd sketch
 SIGMAS = 5.5  # how far below the threshold a sketch may estimate a pair that is still verified
-BLOCK = 2000  # members of a star that one block holds
-TURNS = 2
-CLOSE = 16  # twentieths of similarity with its centre from which on a member has met all it can link with
+BLOCK = 2000  # members of a centre's group that one block holds
 MEMO = 300_000  # words whose hashes a worker remembers at a time
 
 
@@ -77,16 +78,11 @@ class Plan:
         rng = np.random.default_rng(20240607)
         self.a = rng.integers(0, 1 << 63, self.samples, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         self.b = rng.integers(0, 1 << 63, self.samples, dtype=np.uint64)
-        self.flips = self.flips_at(t)
-        # Jaccard distances obey the triangle inequality: what links with a member close to a centre is this similar to the centre.
-        self.centre_flips = self.flips_at(max(0.0, t + CLOSE / 20 - 1))
-
-    def flips_at(self, t: float) -> int:
-        """Differing samples expected at similarity ``t`` plus some deviations, as set bits of the XOR of two sketches."""
+        # Differing samples expected at the threshold plus some deviations, as set bits of the XOR of two sketches.
         bits, m = 64 * WIDTH, self.samples
         differ = min(m, m * (1 - t) + SIGMAS * math.sqrt(m * t * (1 - t)))
         mean = bits / 2 * (1 - math.exp(-4 * differ / bits))
-        return math.ceil(mean + SIGMAS * math.sqrt(mean) / 2)
+        self.flips = math.ceil(mean + SIGMAS * math.sqrt(mean) / 2)
 
     def signature(self, s: np.ndarray) -> tuple[list[int], list[int]]:
         """Band keys and odd sketch of a non-empty set."""
@@ -125,7 +121,7 @@ def signatures(docs: DataFrame, plan: Plan) -> DataFrame:
 
 
 def sets(docs: DataFrame, k: int) -> DataFrame:
-    """Per row: doc_id and the array of its set."""
+    """Per row: node (its doc_id), the fingerprint of its set, and the set."""
 
     def run(batches):
         hashes = Hashes()
@@ -133,52 +129,65 @@ def sets(docs: DataFrame, k: int) -> DataFrame:
             found = [shingles(t, k, hashes).view(np.int64) for t in b.column(1).to_pylist()]
             ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
             values = np.concatenate(found) if found else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(values))], ["doc_id", "s"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, s array<long>")
-
-
-def likely(plan: Plan, x: str, y: str, centre: bool = False):
-    """Whether sizes and sketches allow the pair to reach the threshold or, with ``centre``, one of it to link with a member close to the other."""
-    flips = sum((F.bit_count(F.col(f"{x}.k{i}").bitwiseXOR(F.col(f"{y}.k{i}"))) for i in range(WIDTH)), F.lit(0))
-    small, large = F.least(f"{x}.n", f"{y}.n"), F.greatest(f"{x}.n", f"{y}.n")
-    if centre:
-        return (small * plan.den * 20 >= large * plan.num * CLOSE) & (flips <= plan.centre_flips)
-    return (small * plan.den >= large * plan.num) & (flips <= plan.flips)
-
-
-def measured(docs: DataFrame, pairs: DataFrame, plan: Plan, scratch: common.Scratch, name: str, deltas: bool) -> DataFrame:
-    """The pairs ``(a, b)`` with ``link``, whether their full sets reach the threshold, n of b, and what sets b apart from a."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    s = scratch.save(sets(docs.join(common.small(ids), "doc_id", "left_semi"), plan.k), f"{name}_sets")
-    both = pairs.join(s.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), "a").join(s.select(F.col("doc_id").alias("b"), F.col("s").alias("sb")), "b")
-    same = F.size(F.array_intersect("sa", "sb")).cast("long")
-    union = F.size("sa") + F.size("sb") - same
-    delta = F.concat(F.array_except("sa", "sb"), F.array_except("sb", "sa")) if deltas else F.array().cast("array<long>")
-    out = both.select("a", "b", (same * plan.den >= union * plan.num).alias("link"), (same * 20 >= union * CLOSE).alias("close"), F.size("sb").cast("long").alias("n"), delta.alias("delta"))
-    out = scratch.save(out, name)
-    scratch.free(f"{name}_sets")
+            fp = pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in found], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), fp, pa.ListArray.from_arrays(pa.array(ends), pa.array(values))], ["node", "fp", "s"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "node long, fp binary, s array<long>")
+
+
+def stars(nodes: DataFrame, scratch: common.Scratch) -> DataFrame:
+    """Pairs ``(a, b)`` of a centre and a node that shares a bucket with it or with one of its neighbours.
+
+    A bucket's centre is the least of what its members meet as smallest node of any of their buckets, so the many buckets of
+    one group of near copies have one centre or few, and a node meets it once.
+    """
+    keyed = nodes.select(F.explode("bands").alias("key"), "node")
+    buckets = keyed.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z").select("key", "a")
+    member = scratch.save(keyed.join(buckets, "key").select("key", "node", "a"), "member")
+    near = member.groupBy("node").agg(F.min("a").alias("m"))
+    centre = member.join(near, "node").groupBy("key").agg(F.min("m").alias("centre"))
+    pairs = scratch.save(member.join(centre, "key").where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct(), "stars")
+    scratch.free("member")
+    return pairs
+
+
+def met(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, plan: Plan, scratch: common.Scratch) -> DataFrame:
+    """The pairs with ``link`` (sketches and sizes allow it and the full sets reach the threshold), and of b: n, sketch, and what sets it apart from a."""
+    ids = scratch.save(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
+    light = nodes.select("fp", "node", "n", "sketch").join(common.small(ids.withColumnRenamed("doc_id", "node")), "node", "left_semi")
+    found = sets(docs.join(common.small(ids), "doc_id", "left_semi"), plan.k).join(light, ["fp", "node"])
+    s = scratch.save(found.dropDuplicates(["fp", "node"]).select("node", "n", "s", "sketch"), "sets")
+    of = lambda x: s.select(*[F.col(c).alias(c + x) for c in s.columns])
+    both = pairs.join(of("_a"), F.col("a") == F.col("node_a")).join(of("_b"), F.col("b") == F.col("node_b"))
+    flips = sum((F.bit_count(F.col("sketch_a")[i].bitwiseXOR(F.col("sketch_b")[i])) for i in range(WIDTH)), F.lit(0))
+    likely = (F.least("n_a", "n_b") * plan.den >= F.greatest("n_a", "n_b") * plan.num) & (flips <= plan.flips)
+    same = F.size(F.array_intersect("s_a", "s_b")).cast("long")
+    reaches = same * plan.den >= (F.col("n_a") + F.col("n_b") - same) * plan.num
+    delta = F.concat(F.array_except("s_a", "s_b"), F.array_except("s_b", "s_a"))
+    out = scratch.save(both.select("a", "b", (likely & reaches).alias("link"), F.col("n_b").alias("n"), F.col("sketch_b").alias("sketch"), delta.alias("delta")), "met")
+    scratch.free("ids", "sets")
     return out
 
 
 def around(met: DataFrame, plan: Plan) -> DataFrame:
-    """Links between members of a star that its centre does not link: ``(a, b)``.
+    """Links between members of a group that its centre does not link: ``(a, b)``.
 
-    Two sets' symmetric difference is that of what sets each apart from the centre, so those short lists give the exact
-    similarity. Members that are not linked with the centre meet all others, a block of ``BLOCK`` against a block at a time;
-    a block returns a spanning forest of its links.
+    Members that are not linked with the centre meet all others, a block of ``BLOCK`` against a block at a time. Of what is not
+    connected yet in the block, sizes and sketches leave the pairs that may link, and the lists of differences decide.
     """
     sizes = met.groupBy("a").agg(F.count("*").alias("members"), F.sum(F.when(~F.col("link"), 1).otherwise(0)).alias("loose")).where("loose > 0 and members > 1")
     rows = met.join(sizes, "a").withColumn("rows", F.ceil(F.col("members") / BLOCK).cast("int")).withColumn("cols", F.ceil(F.col("loose") / BLOCK).cast("int"))
     place = lambda n: F.pmod(F.xxhash64("b"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    cols = ["a", "b", "n", "delta"]
+    cols = ["a", "b", "n", "link", "sketch", "delta"]
     targets = rows.withColumn("y", place("rows")).withColumn("x", every("cols")).select(*cols, "x", "y", F.lit(False).alias("probe"))
     probes = rows.where("not link").withColumn("x", place("cols")).withColumn("y", every("rows")).select(*cols, "x", "y", F.lit(True).alias("probe"))
 
     def meet(t: pa.Table) -> pa.Table:
-        probe = np.asarray(t.column("probe").combine_chunks().to_numpy(zero_copy_only=False), bool)
+        flag = lambda name: np.asarray(t.column(name).combine_chunks().to_numpy(zero_copy_only=False), bool)
+        probe, linked = flag("probe"), flag("link")
         node, n = t.column("b").to_numpy(), t.column("n").to_numpy()
+        sketch = t.column("sketch").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, WIDTH)
         lists = t.column("delta").combine_chunks()
         ends, values = np.asarray(lists.offsets), np.asarray(lists.values)
         size = np.diff(ends)
@@ -187,32 +196,32 @@ def around(met: DataFrame, plan: Plan) -> DataFrame:
         flat = np.concatenate([values[ends[i] : ends[i + 1]] for i in at]) if len(at) else np.empty(0, np.int64)
         order = np.argsort(flat, kind="stable")
         flat, where = flat[order], where[order]
-        out: list[tuple[int, int]] = []
+        who, of = np.unique(node, return_inverse=True)
+        part = np.arange(len(who))  # what is connected has one number
+        part[of[linked]] = len(who)
+        a, b = [], []
         for i in np.flatnonzero(probe):
+            may = part[of[at]] != part[of[i]]
+            may &= np.minimum(n[at], n[i]) * plan.den >= np.maximum(n[at], n[i]) * plan.num
+            may[may] = np.bitwise_count(sketch[at[may]] ^ sketch[i]).sum(axis=1) <= plan.flips
+            if not may.any():
+                continue
             own = values[ends[i] : ends[i + 1]]
             lo, hi = np.searchsorted(flat, own), np.searchsorted(flat, own, "right")
             hits = [where[x:z] for x, z in zip(lo.tolist(), hi.tolist(), strict=True) if z > x]
             both = np.bincount(np.concatenate(hits), minlength=len(at)) if hits else np.zeros(len(at), np.int64)
             apart = size[i] + size[at] - 2 * both
             same = (n[i] + n[at] - apart) // 2
-            for j in at[(same * plan.den >= (n[i] + n[at] - same) * plan.num) & (node[at] != node[i])]:
-                out.append((int(node[i]), int(node[j])))
-        kept, parent = [], {}
-
-        def root(x: int) -> int:
-            while parent.setdefault(x, x) != x:
-                parent[x] = parent[parent[x]]
-                x = parent[x]
-            return x
+            for j in at[may & (same * plan.den >= (n[i] + n[at] - same) * plan.num)]:
+                if part[of[i]] != part[of[j]]:
+                    part[part == part[of[j]]] = part[of[i]]
+                    a.append(int(node[i]))
+                    b.append(int(node[j]))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-        for x, y in out:
-            rx, ry = root(x), root(y)
-            if rx != ry:
-                parent[rx] = ry
-                kept.append((x, y))
-        return pa.table({"a": pa.array([x for x, _ in kept], pa.int64()), "b": pa.array([y for _, y in kept], pa.int64())})
-
-    return targets.unionByName(probes).groupBy("a", "x", "y").applyInArrow(meet, "a long, b long")
+    # Dealt by the block too: the join above is by centre, which would put all blocks of a group in one task.
+    blocks = targets.unionByName(probes).repartition("a", "x", "y")
+    return blocks.groupBy("a", "x", "y").applyInArrow(meet, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> DataFrame:
@@ -224,33 +233,19 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) ->
     sigs = scratch.save(signatures(docs, plan), "sigs")
     nodes = scratch.save(
         sigs.where("fp is not null and doc_id is not null").groupBy("fp").agg(F.min(F.struct("doc_id", "n", "bands", "sketch")).alias("m"))
-        .select("fp", F.col("m.doc_id").alias("node"), F.col("m.n").alias("n"), F.col("m.bands").alias("bands"), *[F.col("m.sketch")[i].alias(f"k{i}") for i in range(WIDTH)]),
+        .select("fp", F.col("m.doc_id").alias("node"), F.col("m.n").alias("n"), F.col("m.bands").alias("bands"), F.col("m.sketch").alias("sketch")),
         "nodes",
     )
-    light = nodes.select("node", "n", *[f"k{i}" for i in range(WIDTH)])
-    # Rows that share a doc_id but not a text are one node, as equal sets are.
-    member, links = nodes.select(F.explode("bands").alias("key"), "node"), None
-    for turn in range(TURNS):
-        centre = member.groupBy("key").agg(F.min("node").alias("a"), F.count("*").alias("members")).where("members > 1").select("key", "a")
-        member = scratch.save(member.join(centre, "key").select("key", "node", "a"), f"member{turn}")
-        stars = member.where("a < node").select("a", F.col("node").alias("b")).distinct()
-        judged = scratch.save(
-            stars.alias("s").join(light.alias("x"), F.col("s.a") == F.col("x.node")).join(light.alias("y"), F.col("s.b") == F.col("y.node"))
-            .select("s.a", "s.b", likely(plan, "x", "y", True).alias("ok")),
-            f"judged{turn}",
-        )
-        met = measured(docs, judged.where("ok").select("a", "b"), plan, scratch, f"met{turn}", True)
-        found = met.where("link").select("a", "b").unionByName(around(met, plan))
-        links = found if links is None else links.unionByName(found)
-        # What is close to its centre has met all it can link with, for the star holds all that may; the rest looks for other centres.
-        close = met.where("close").select("a", F.col("b").alias("node"))
-        member = member.where("a < node").join(close, ["a", "node"], "left_anti").select("key", "node")
-    cc = common.linked(member, light, lambda x, y: likely(plan, x, y), lambda pairs, name: measured(docs, pairs, plan, scratch, name, False).where("link").select("a", "b"), scratch, known=scratch.save(links, "links"))
-    result = (
-        sigs.select("doc_id", "n", "fp").join(nodes.select("fp", "node"), "fp", "left").join(cc, "node", "left")
-        .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "node", "doc_id").alias("component_id"))
-    )
-    return result.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    meetings = met(docs, nodes, stars(nodes, scratch), plan, scratch)
+    placed = scratch.save(sigs.select("doc_id", "n", "fp").join(nodes.select("fp", "node"), "fp", "left").select("doc_id", "n", "node"), "placed")
+    # A doc_id whose rows are of several nodes connects these.
+    several = placed.where("doc_id is not null").groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z").select("doc_id", "a")
+    same_id = placed.join(common.small(several), "doc_id").select("a", F.col("node").alias("b"))
+    links = meetings.where("link").select("a", "b").unionByName(around(meetings, plan)).unionByName(same_id)
+    result = placed.join(common.components(links, scratch), "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "node", "doc_id").alias("component_id"))
+    result = scratch.save(result.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))), "result")
+    scratch.free_but("result")
+    return result
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:

@@ -248,3 +248,34 @@ def test_pipeline_stages(spark, n):
         if n and name == "minhash_near_dedup":
             assert set(range(6)) <= {r["doc_id"] for r in rows.collect()}
     assert rows.count() >= 6 * n
+
+
+def test_minhash_cut_and_grown_copies(spark):
+    """A text, copies that each lack another block of it, and one that only the whole text links with: sizes differ too much for the centre."""
+    texts = []
+    for g in range(6):
+        base = [f"g{g}w{i}" for i in range(300)]
+        texts += [" ".join(base[:at] + base[at + 38 :]) for at in (R.randrange(0, 262) for _ in range(40))]
+        texts += [" ".join(base), " ".join(base + [f"g{g}n{i}" for i in range(48)])]
+    sets = [{tuple(w[i : i + 3]) for i in range(len(w) - 2)} for w in (t.split() for t in texts)]
+    links = [(i, j) for i in range(len(sets)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j])]
+    out = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(docs(spark, texts), 3, 85, 100).collect()}
+    assert out == closed(range(len(texts)), links)
+
+
+def test_minhash_size_chain(spark):
+    """Each text has a few words more than the one before: neighbours link, the ends are far apart."""
+    words = [f"w{i}" for i in range(400)]
+    texts = [" ".join(words[: 60 + 6 * i]) for i in range(50)]
+    out = minhash.near_duplicates(docs(spark, texts[::-1]), 3, 85, 100).collect()
+    assert {r["component_id"] for r in out} == {0}
+
+
+def test_minhash_rows_that_share_an_id(spark):
+    """Rows of one doc_id connect what each of them links with; a very long text is shingled whole."""
+    a, b = " ".join(f"a{i}" for i in range(50)), " ".join(f"b{i}" for i in range(50))
+    long = " ".join(f"l{i}" for i in range(60_000))
+    rows = [(1, a), (5, a), (5, b), (7, b), (8, b + " end"), (9, long), (10, long + " z"), (10, long + " z"), (11, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_shingles", F.lit("clash"))
+    out = sorted((r["doc_id"], r["component_id"]) for r in minhash.near_duplicates(df).collect())
+    assert out == [(1, 1), (5, 1), (5, 1), (7, 1), (8, 1), (9, 9), (10, 9), (10, 9), (11, 11)]
