@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 # Rows of bare keys that a broadcast may hold (about 16 bytes each); larger sides are shuffled instead.
 BROADCAST_ROWS = 2_000_000
+# Bytes that a broadcast of rows of any length may hold.
+BROADCAST_BYTES = 32 << 20
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -107,43 +109,15 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def linked(keyed: DataFrame, light: DataFrame, likely, confirm, scratch: Scratch, block: int = 2000, known: DataFrame | None = None) -> DataFrame:
-    """Components over confirmed links between nodes that share a bucket, as ``(node, component)``.
+def stars(keyed: DataFrame, scratch: Scratch) -> DataFrame:
+    """Pairs ``(a, b)`` of a centre and a node that shares a bucket with it or with one of its neighbours, from ``keyed(key, node)``.
 
-    ``keyed(key, node)`` has the buckets; ``light(node, ...)`` what ``likely(x, y)``, a condition on two aliases of it, looks
-    at; ``confirm(pairs, name)`` writes the pairs ``(a, b)`` that are links. First every member meets its bucket's
-    smallest node only (a star, never all pairs). What that can miss are links of members outside the centre's
-    component: in buckets that still hold several components, these members, copied to each of the bucket's salts of
-    ``block`` members, meet all others of other components inside one join whose condition lets only likely pairs out. ``known(a, b)``
-    are links found before.
+    A bucket's centre is the least of what its members meet as smallest node of any of their buckets, so the many buckets of
+    one group of like nodes have one centre or few, and a node meets it once. The table ``member(key, node, a)`` of the buckets
+    with several nodes and their smallest one stays in the scratch.
     """
-    buckets = keyed.groupBy("key").agg(F.min("node").alias("a"), F.count("*").alias("members")).where("members > 1")
-    member = scratch.save(keyed.join(buckets, "key").select("key", "node", "a", "members"), "member")
-    stars = member.where("a < node").select("a", F.col("node").alias("b")).distinct()
-    tried = scratch.save(
-        stars.alias("s").join(light.alias("x"), F.col("s.a") == F.col("x.node")).join(light.alias("y"), F.col("s.b") == F.col("y.node"))
-        .select("s.a", "s.b", likely("x", "y").alias("ok")),
-        "tried",
-    )
-    links = confirm(tried.where("ok").select("a", "b").distinct(), "links1")
-    links = links if known is None else links.unionByName(known)
-    cc = components(links, scratch, "cc1")
-    at = member.where("members > 2").join(cc, "node", "left").select("key", "members", "node", "a", F.coalesce("component", "node").alias("c"))
-    mixed = at.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.max(F.when(F.col("node") == F.col("a"), F.col("c"))).alias("main")).where("low < high").select("key", "main")
-    rows = (
-        at.join(mixed, "key").join(light, "node")
-        .withColumn("salts", F.ceil(F.col("members") / block).cast("int"))
-        .withColumn("salt", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int"))
-    )
-    rows = scratch.save(rows, "rows")
-    probes = rows.where("c <> main").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
-    x, y = probes.alias("x"), rows.alias("y")
-    # Two members outside the main component meet twice; the second time is left out.
-    once = (F.col("y.c") == F.col("y.main")) | (F.col("x.node") < F.col("y.node"))
-    more = (
-        x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.salt") == F.col("y.salt")) & (F.col("x.c") != F.col("y.c")) & once & likely("x", "y"))
-        .select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
-        .join(tried.select("a", "b"), ["a", "b"], "left_anti")
-    )
-    found = confirm(scratch.save(more, "more"), "links2")
-    return components(found.unionByName(cc.select(F.col("node").alias("a"), F.col("component").alias("b"))), scratch, "cc2")
+    buckets = keyed.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z").select("key", "a")
+    member = scratch.save(keyed.join(buckets, "key").select("key", "node", "a"), "member")
+    near = member.groupBy("node").agg(F.min("a").alias("m"))
+    centre = member.join(near, "node").groupBy("key").agg(F.min("m").alias("centre"))
+    return scratch.save(member.join(centre, "key").where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct(), "stars")

@@ -135,22 +135,6 @@ def sets(docs: DataFrame, k: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "node long, fp binary, s array<long>")
 
 
-def stars(nodes: DataFrame, scratch: common.Scratch) -> DataFrame:
-    """Pairs ``(a, b)`` of a centre and a node that shares a bucket with it or with one of its neighbours.
-
-    A bucket's centre is the least of what its members meet as smallest node of any of their buckets, so the many buckets of
-    one group of near copies have one centre or few, and a node meets it once.
-    """
-    keyed = nodes.select(F.explode("bands").alias("key"), "node")
-    buckets = keyed.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z").select("key", "a")
-    member = scratch.save(keyed.join(buckets, "key").select("key", "node", "a"), "member")
-    near = member.groupBy("node").agg(F.min("a").alias("m"))
-    centre = member.join(near, "node").groupBy("key").agg(F.min("m").alias("centre"))
-    pairs = scratch.save(member.join(centre, "key").where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct(), "stars")
-    scratch.free("member")
-    return pairs
-
-
 def met(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, plan: Plan, scratch: common.Scratch) -> DataFrame:
     """The pairs with ``link`` (sketches and sizes allow it and the full sets reach the threshold), and of b: n, sketch, and what sets it apart from a."""
     ids = scratch.save(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
@@ -236,7 +220,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) ->
         .select("fp", F.col("m.doc_id").alias("node"), F.col("m.n").alias("n"), F.col("m.bands").alias("bands"), F.col("m.sketch").alias("sketch")),
         "nodes",
     )
-    meetings = met(docs, nodes, stars(nodes, scratch), plan, scratch)
+    pairs = common.stars(nodes.select(F.explode("bands").alias("key"), "node"), scratch)
+    scratch.free("member")
+    meetings = met(docs, nodes, pairs, plan, scratch)
     placed = scratch.save(sigs.select("doc_id", "n", "fp").join(nodes.select("fp", "node"), "fp", "left").select("doc_id", "n", "node"), "placed")
     # A doc_id whose rows are of several nodes connects these.
     several = placed.where("doc_id is not null").groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z").select("doc_id", "a")
