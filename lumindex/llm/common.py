@@ -48,8 +48,8 @@ class Scratch:
     def fs(self):
         return self.path("").getFileSystem(self.spark._jsc.hadoopConfiguration())
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("overwrite").parquet(f"{self.base}/{name}")
+    def save(self, df: DataFrame, name: str, **options: str) -> DataFrame:
+        df.write.mode("overwrite").options(**options).parquet(f"{self.base}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.base}/{name}")
 
     def free(self, *names: str) -> None:
