@@ -9,7 +9,12 @@ ancestor of these positions can no longer change and are emitted. The buffer hol
 Decoding feeds token bytes to an incremental UTF-8 decoder, which keeps at most three pending bytes and replaces
 ill-formed sequences by U+FFFD.
 
-The tokenizer file is a parameter. Null texts are read as empty; empty texts give no ids.
+The tokenizer file is a parameter. Ids come in short lists, and hashes and decoded text are taken from them as they come, so beside
+the text itself memory follows neither a text's length nor that of its longest word.
+
+Defined results: null texts are read as empty; empty texts give no ids; an empty table gives no rows; repeated rows and rows that
+share a doc_id are encoded each on its own; null doc_ids stay; of a pair's equal ranks the leftmost merges first, as in the library;
+``encode`` and ``decode`` pass other columns through and replace one of their output's name, the digests return their own columns only.
 """
 
 from __future__ import annotations
@@ -20,6 +25,7 @@ import json
 import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import islice
 
 import ahocorasick
 import pyarrow as pa
@@ -32,6 +38,8 @@ from . import common
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 CACHE = 400_000  # entries that a worker's word and pair memos may hold before they are emptied
 WORD = 64  # bytes; longer pieces go through the streaming buffer and are not memoised
+SLICE = 1 << 16  # characters of a text without longer white space that are taken at a time
+STEP = 4096  # strings of ids, or ids, that are handed on at a time
 NEVER = 1 << 60  # the rank of a pair that no merge joins
 RUN = re.compile(r"\s\s+")
 ODD = re.compile("[\x1c-\x1f]")  # white space to one of the regular-expression libraries only
@@ -200,32 +208,58 @@ class Transducer:
             self.chunks[text] = got
         return got
 
-    def ordinary(self, text: str, out: list[str]) -> None:
-        """Append the ids of a text without added tokens, stretch by stretch.
+    def ordinary(self, text: str) -> Iterator[list[str]]:
+        """Id strings of a text without added tokens, stretch by stretch.
 
         A pre-token holds a space at its start only, so single spaces start new stretches. Longer runs of white space
         are pre-tokens but for their last character, which belongs to what follows if it is a space.
         """
         if ODD.search(text):
-            out.append(self.chunk(text))
+            yield from self.pretokens(text)
             return
-        get, chunk = self.chunks.get, self.chunk
         at = 0
         for m in RUN.finditer(text):
-            self.stretch(text[at : m.start()], out, get, chunk)
+            yield from self.stretch(text, at, m.start())
             at = m.end()
             if at < len(text):
                 at -= 1
-            space = text[m.start() : at]
-            out.append(get(space) or chunk(space))
-        self.stretch(text[at:], out, get, chunk)
+            yield from self.pretokens(text[m.start() : at])
+        yield from self.stretch(text, at, len(text))
 
-    def stretch(self, text: str, out: list[str], get, chunk) -> None:
-        if text:
-            first, *rest = text.split(" ")
-            if first:
-                out.append(get(first) or chunk(first))
-            out.extend([get(w) or chunk(w) for w in [" " + w for w in rest]])
+    def stretch(self, text: str, at: int, end: int) -> Iterator[list[str]]:
+        """``SLICE`` characters and the rest of a word at a time."""
+        get, chunk = self.chunks.get, self.chunk
+        while at < end:
+            cut = end if end - at <= SLICE else text.find(" ", at + SLICE, end)
+            cut = end if cut < 0 else cut
+            if cut - at > 2 * SLICE:  # a word without end
+                yield from self.pretokens(text[at:cut])
+            else:
+                first, *rest = text[at:cut].split(" ")
+                if first:
+                    yield [get(first) or chunk(first)]
+                yield [get(w) or chunk(w) for w in [" " + w for w in rest]]
+            at = cut
+
+    def pretokens(self, text: str) -> Iterator[list[str]]:
+        """The same by the pattern, and long pre-tokens through the buffer."""
+        if len(text) <= WORD:
+            yield [self.chunks.get(text) or self.chunk(text)] if text else []
+            return
+        out = []
+        for m in self.find.finditer(text):
+            piece = m.group()
+            if len(piece) <= WORD:
+                out.append(self.memo.get(piece) or self.word(piece))
+                if len(out) < STEP:
+                    continue
+            yield out
+            out = []
+            if len(piece) > WORD:
+                ids = self.emit(piece[i : i + WORD].encode("utf-8", "surrogatepass") for i in range(0, len(piece), WORD))
+                while some := list(islice(ids, STEP)):
+                    yield [",".join(map(str, some))]
+        yield out
 
     def parts(self, text: str) -> Iterator[str | int]:
         """Stretches of ordinary text and ids of added tokens, in order."""
@@ -241,27 +275,55 @@ class Transducer:
         if at < len(text):
             yield text[at:]
 
-    def joined(self, text: str) -> str:
-        """All ids of a text, joined by commas."""
+    def pieces(self, text: str) -> Iterator[list[str]]:
+        """All ids of a text in order, as lists of strings of ids joined by commas; a list follows neither the text nor its longest word in size."""
         out: list[str] = []
         for part in self.parts(text):
             if isinstance(part, int):
                 out.append(str(part))
-            else:
-                self.ordinary(part, out)
-        return ",".join(out)
+                continue
+            for some in self.ordinary(part):
+                out.extend(some)
+                if len(out) >= STEP:
+                    yield out
+                    out = []
+        if out:
+            yield out
 
     def encode(self, text: str | None) -> list[int]:
-        return [int(x) for x in s.split(",")] if (s := self.joined(text or "")) else []
+        return [int(x) for some in self.pieces(text or "") for x in ",".join(some).split(",")]
 
-    def decode(self, ids: Iterable[int], step: int = 4096) -> str:
+    def count(self, text: str | None) -> int:
+        """Number of ids."""
+        return sum(",".join(some).count(",") + 1 for some in self.pieces(text or ""))
+
+    def decode(self, ids: Iterable[int], step: int = STEP) -> str:
         """Text of ids: ``step`` tokens at a time through the incremental UTF-8 machine."""
-        machine = codecs.getincrementaldecoder("utf-8")("replace")
-        ids, table, out = list(ids), self.bytes, []
-        for i in range(0, len(ids), step):
-            out.append(machine.decode(b"".join(map(table.__getitem__, ids[i : i + step]))))
-        out.append(machine.decode(b"", True))
-        return "".join(out)
+        return "".join(self.decoded(iter(lambda it=iter(ids): list(islice(it, step)), [])))
+
+    def decoded(self, lists: Iterable[list[int]]) -> Iterator[str]:
+        """Text of lists of ids as they come: the machine holds back at most three bytes."""
+        machine, table = codecs.getincrementaldecoder("utf-8")("replace"), self.bytes
+        for ids in lists:
+            yield machine.decode(b"".join(map(table.__getitem__, ids)))
+        yield machine.decode(b"", True)
+
+    def digest(self, text: str | None) -> tuple[int, str, str]:
+        """Number of ids, SHA-256 of the ids joined by commas, SHA-256 of the text they decode to, all gathered while the ids come."""
+        total, ids_sha, text_sha = 0, hashlib.sha256(), hashlib.sha256()
+
+        def lists():
+            nonlocal total
+            for some in self.pieces(text or ""):
+                s = ",".join(some)
+                ids_sha.update((("," if total else "") + s).encode())
+                ids = list(map(int, s.split(",")))
+                total += len(ids)
+                yield ids
+
+        for part in self.decoded(lists()):
+            text_sha.update(part.encode())
+        return total, ids_sha.hexdigest(), text_sha.hexdigest()
 
 
 @lru_cache(maxsize=4)
@@ -301,18 +363,24 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
     def run(batches):
         t = transducer(path)
         for b in batches:
-            n, ids_sha, text_sha = [], [], []
-            for text in b.column(1).to_pylist():
-                s = t.joined(text or "")
-                ids = list(map(int, s.split(","))) if s else []
-                n.append(len(ids))
-                ids_sha.append(hashlib.sha256(s.encode()).hexdigest())
-                text_sha.append(hashlib.sha256(t.decode(ids).encode()).hexdigest())
+            n, ids_sha, text_sha = zip(*map(t.digest, b.column(1).to_pylist()), strict=True) if b.num_rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
+def token_counts(docs: DataFrame, path: str) -> DataFrame:
+    """Per row of ``docs(doc_id, text)``: doc_id and n_tokens."""
+    common.small_batches(docs.sparkSession)
+
+    def run(batches):
+        t = transducer(path)
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(map(t.count, b.column(1).to_pylist())), pa.int64())], ["doc_id", "n_tokens"])
+
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long")
+
+
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 

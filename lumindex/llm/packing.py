@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from . import common, token_count
+from . import bpe, common
 
 SHARD = 50_000  # pieces that one shard numbers
 
@@ -89,11 +89,10 @@ def packed(docs: DataFrame, length: Column | None = None, max_len: int = 2048, n
 
 
 def packed_tokens(docs: DataFrame) -> DataFrame:
-    """``packed`` by the tokens that operator 4 counts: the registered query and the pipeline's last stage."""
+    """``packed`` by the tokens of operator 7: the registered query and the pipeline's last stage."""
     import public_tokenizers
 
-    counted = token_count.token_counts(docs.select("doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model"))
-    return packed(counted, F.col("n_tokens"))
+    return packed(bpe.token_counts(docs, public_tokenizers.path("byte_bpe_50k.json")), F.col("n_tokens"))
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,3 +1,4 @@
+import hashlib
 import random
 import struct
 from collections import Counter
@@ -23,6 +24,7 @@ def test_bpe_equals_the_library_and_round_trips():
     mine, lib = bpe.Transducer(path), Tokenizer.from_file(path)
     for t in ODD:
         ids = mine.encode(t)
+        assert mine.count(t) == len(ids) and mine.digest(t)[:2] == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
         assert ids == lib.encode(t, add_special_tokens=False).ids
         assert mine.decode(ids) == t == lib.decode(ids, skip_special_tokens=False)
     for _ in range(100):
@@ -54,6 +56,24 @@ def test_bpe_buffer_stays_small():
     assert seen < 5000  # the first tokens come long before the end
 
 
+def test_bpe_of_long_words_and_texts_comes_in_short_lists():
+    from tokenizers import Tokenizer
+
+    path = P.path("byte_bpe_50k.json")
+    mine, lib = bpe.Transducer(path), Tokenizer.from_file(path)
+    for t in ["ation\u00e9" * 60_000, "the word " * 40_000, " ".join(["x" * 70_000, "a  b\n\n c", "y" * 140_000]), "=-" * 100_000 + "\x1c" + "b" * 200]:
+        assert mine.encode(t) == lib.encode(t, add_special_tokens=False).ids
+        assert max(map(len, mine.pieces(t))) < 3 * bpe.SLICE and max(len(s) for some in mine.pieces(t) for s in some) < 10 * bpe.SLICE
+
+
+def test_bpe_rows(spark):
+    """Repeated rows, shared and null ids, and columns that clash."""
+    path = P.path("byte_bpe_50k.json")
+    df = spark.createDataFrame([(1, "a b"), (1, "a b"), (1, "c"), (None, "d"), (2, None)], "doc_id long, text string").withColumn("n_tokens", F.lit("clash"))
+    out = bpe.digests(df, path).collect()
+    assert sorted((r["doc_id"] or 0, r["n_tokens"]) for r in out) == [(0, 1), (1, 1), (1, 2), (1, 2), (2, 0)]
+
+
 def test_bpe_columns(spark):
     path = P.path("byte_bpe_50k.json")
     df = docs(spark, ["hello wörld", None, ""]).withColumn("ids", F.lit(1))
@@ -255,9 +275,12 @@ def test_packing(spark):
 def test_registered_packing_counts_tokens(spark, tmp_path):
     texts = ["日本語" * 3000, "YWJjZGVm" * 2000, "two words", None, ""]
     docs(spark, texts).write.parquet(f"file://{tmp_path}/documents.parquet")
-    c = token_count.counter(P.path("piece_bpe_32k.model"))
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    count = lambda t: len(lib.encode(t, add_special_tokens=False).ids)
     for out in (packing.op9(spark, f"file://{tmp_path}").collect(), corpus_pipeline.pack(spark, docs(spark, texts), "").collect()):
         by = {}
         for r in out:
             by[r["doc_id"]] = by.get(r["doc_id"], 0) + r["n_tokens"]
-        assert by == {i: c.count(texts[i])[0] for i in range(3)} and by[0] > 2048 and max(r["n_tokens"] for r in out) == 2048
+        assert by == {i: count(texts[i]) for i in range(3)} and by[0] > 2048 and max(r["n_tokens"] for r in out) == 2048
