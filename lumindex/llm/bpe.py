@@ -36,7 +36,7 @@ from . import common
 
 # The published byte-level pre-tokenizer pattern (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-CACHE = 400_000  # entries that a worker's word and pair memos may hold before they are emptied
+CACHE = 200_000  # entries that a worker's word and pair memos may hold before they are emptied
 WORD = 64  # bytes; longer pieces go through the streaming buffer and are not memoised
 SLICE = 1 << 16  # characters of a text without longer white space that are taken at a time
 STEP = 4096  # strings of ids, or ids, that are handed on at a time
@@ -85,6 +85,7 @@ class Transducer:
         self.edges: tuple[dict, dict] = ({}, {})
         self.stable: dict[int, bool] = {}
         self.chunks: dict[str, str] = {}
+        self.before: dict[str, str] = {}
         self.memo: dict[str, tuple[str, int]] = {}
 
     def merged(self, data: bytes) -> list[bytes]:
@@ -184,27 +185,34 @@ class Transducer:
             end -= size[last[end]]
         return out[::-1]
 
-    def word(self, piece: str) -> str:
+    def spelt(self, piece: str) -> str:
         """A pre-token's ids joined by commas."""
         data = piece.encode("utf-8", "surrogatepass")
         if len(data) <= WORD:
             last = [-1]
             self.extend(data.decode("latin-1"), last)
-            got = ",".join(map(str, self.path(last, len(data))))
-            if len(self.memo) >= CACHE:
-                self.memo.clear()
-            self.memo[piece] = got
-            return got
+            return ",".join(map(str, self.path(last, len(data))))
         step = 4 * self.lookahead
         return ",".join(map(str, self.emit(data[i : i + step] for i in range(0, len(data), step))))
 
+    def word(self, piece: str) -> str:
+        """The same, remembered."""
+        got = self.spelt(piece)
+        if len(piece) <= WORD:
+            if len(self.memo) >= CACHE // 2:
+                self.memo.clear()
+            self.memo[piece] = got
+        return got
+
     def chunk(self, text: str) -> str:
-        """Ids of a short stretch, joined by commas."""
-        get, word = self.memo.get, self.word
-        got = ",".join([get(p) or word(p) for p in self.find.findall(text)])
+        """Ids of a short stretch, joined by commas; remembered for two generations, so that frequent stretches stay."""
+        got = self.before.get(text)
+        if got is None:
+            parts = self.find.findall(text)
+            got = self.spelt(text) if len(parts) == 1 else ",".join([self.memo.get(p) or self.word(p) for p in parts])
         if len(text) <= WORD:
             if len(self.chunks) >= CACHE:
-                self.chunks.clear()
+                self.before, self.chunks = self.chunks, {}
             self.chunks[text] = got
         return got
 
@@ -369,18 +377,6 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
-def token_counts(docs: DataFrame, path: str) -> DataFrame:
-    """Per row of ``docs(doc_id, text)``: doc_id and n_tokens."""
-    common.small_batches(docs.sparkSession)
-
-    def run(batches):
-        t = transducer(path)
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(map(t.count, b.column(1).to_pylist())), pa.int64())], ["doc_id", "n_tokens"])
-
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long")
-
-
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 

@@ -13,9 +13,13 @@ repeated rows are separate pieces; further columns are neither read nor returned
 
 from __future__ import annotations
 
+import base64
 import math
+import re
+from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -23,6 +27,8 @@ from pyspark.sql.window import Window
 from . import bpe, common
 
 SHARD = 50_000  # pieces that one shard numbers
+LONG = 4096  # characters of a word or of white space that the library takes
+SPACES = re.compile(rf"\s{{{LONG}}}")
 
 
 def best_bounds(histogram: dict[int, int], n_buckets: int) -> list[int]:
@@ -88,11 +94,45 @@ def packed(docs: DataFrame, length: Column | None = None, max_len: int = 2048, n
     )
 
 
+@lru_cache(maxsize=4)
+def encoding(ranks: str):
+    import tiktoken
+
+    with open(ranks, "rb") as f:
+        table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    return tiktoken.Encoding("lengths", pat_str=bpe.PATTERN, mergeable_ranks=table, special_tokens={})
+
+
+def token_counts(docs: DataFrame, ranks: str, merges: str) -> DataFrame:
+    """Per row of ``docs(doc_id, text)``: doc_id and n_tokens, the tokens of byte-level BPE by the file ``ranks``.
+
+    The library counts; texts with words or white space of over ``LONG`` characters, on which it takes the square of their
+    length, are counted by operator 7's transducer with the file ``merges`` of the same vocabulary.
+    """
+    common.small_batches(docs.sparkSession)
+
+    def run(batches):
+        library = encoding(ranks)
+
+        def count(text: str | None) -> int:
+            if not text:
+                return 0
+            if max(map(len, text.split()), default=LONG + 1) > LONG or SPACES.search(text):
+                return bpe.transducer(merges).count(text)
+            return len(library.encode_ordinary(text))
+
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(map(count, b.column(1).to_pylist())), pa.int64())], ["doc_id", "n_tokens"])
+
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long")
+
+
 def packed_tokens(docs: DataFrame) -> DataFrame:
-    """``packed`` by the tokens of operator 7: the registered query and the pipeline's last stage."""
+    """``packed`` by byte-level BPE tokens: the registered query and the pipeline's last stage."""
     import public_tokenizers
 
-    return packed(bpe.token_counts(docs, public_tokenizers.path("byte_bpe_50k.json")), F.col("n_tokens"))
+    counted = token_counts(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.path("byte_bpe_50k.json"))
+    return packed(counted, F.col("n_tokens"))
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
