@@ -26,12 +26,12 @@ def scratch_root(spark: SparkSession) -> str:
     return root
 
 
-def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Bound what one Arrow batch of whole texts holds, unless the session already asks for less."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= rows:
         spark.conf.set(key, str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
 
 class Scratch:
@@ -48,8 +48,8 @@ class Scratch:
     def fs(self):
         return self.path("").getFileSystem(self.spark._jsc.hadoopConfiguration())
 
-    def save(self, df: DataFrame, name: str, **options: str) -> DataFrame:
-        df.write.mode("overwrite").options(**options).parquet(f"{self.base}/{name}")
+    def save(self, df: DataFrame, name: str) -> DataFrame:
+        df.write.mode("overwrite").parquet(f"{self.base}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.base}/{name}")
 
     def free(self, *names: str) -> None:

@@ -34,7 +34,7 @@ MISS = 4e-6  # chance that a pair right at the threshold shares no band
 WIDTH = 8  # 64-bit words of an odd sketch
 SIGMAS = 5.5  # how far below the threshold a sketch may estimate a pair that is still verified
 BLOCK = 2000  # members of a centre's group that one block holds
-MEMO = 300_000  # words whose hashes a worker remembers at a time
+MEMO = 100_000  # words whose hashes a worker remembers at a time
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -5,7 +5,7 @@ sort of all suffixes would shuffle many times the input, so suffixes enter the s
 window has a smallest ``GRAM``-byte hash, equal windows have equal ones at equal offsets, and these anchors (about one in
 17 bytes) stand for the windows around them. The sort's digits are then dealt out:
 
-1. anchors go to the bucket of their hash's top bits; anchors that a second document has are sent back to their documents;
+1. anchors go to the bucket of their hash's low bits (as window minima they have even low bits only); anchors that a second document has are sent back to their documents;
 2. these return with a hash of their context, all bytes that a window with the anchor can have: in a
    group of equal contexts every document but the smallest is covered throughout; contexts that differ are asked for;
 3. their suffixes, one for each window around the anchor, are ordered through ``depth`` bytes only, eight bytes a pass
@@ -214,7 +214,8 @@ def removed_passages(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     slots, bits = 2 * parts + 1, max(1, (parts - 1).bit_length())
     reach = depth - GRAM
-    digit = lambda h: (h >> np.uint64(64 - bits)).astype(np.int64)
+    # The low bits: anchors are the smallest hashes of their windows, so that their high bits are mostly zeros.
+    digit = lambda h: (h & np.uint64((1 << bits) - 1)).astype(np.int64)
     added = [T.StructField("kept", T.BinaryType()), T.StructField("starts", T.ArrayType(T.LongType())), T.StructField("ends", T.ArrayType(T.LongType()))]
     whole = lambda df, gone: df.withColumn("kept", F.lit(b"") if gone else F.coalesce(F.encode("text", "UTF-8"), F.lit(b""))).withColumn("starts", F.array(F.lit(0).cast("long")) if gone else F.array().cast("array<long>")).withColumn("ends", F.array(F.octet_length("text").cast("long")) if gone else F.array().cast("array<long>"))
 
