@@ -87,4 +87,6 @@ class SearchConfig:
         """Changes exactly when an index built with other settings would hold other postings."""
         s = asdict(self)
         relevant = {k: sorted(s[k]) for k in ("post_types", "taxonomies", "fields")} | {k: s[k] for k in ("min_token_length", "stopwords_mode", "stopwords_custom", "stemming")}
+        if s["shortcodes"]:  # not a setting of the index by default, but stripped text leaves other postings
+            relevant["shortcodes"] = sorted(s["shortcodes"])
         return hashlib.md5(json.dumps(relevant, separators=(",", ":")).encode()).hexdigest()

@@ -169,7 +169,7 @@ def handled(requests: DataFrame, enabled: Column | None = None) -> Column:
 
 def valid_request(q: Column, number: Column, per_page: Column) -> Column:
     """Whether an API request may be answered."""
-    return (F.trim(q) != "") & (F.octet_length(q) <= 200) & number.between(1, 1000) & per_page.between(1, 50)
+    return (F.trim(q) != "") & (F.octet_length(F.trim(q)) <= 200) & number.between(1, 1000) & per_page.between(1, 50)
 
 
 def fallback(queries: DataFrame, posts: DataFrame, cfg: SearchConfig) -> DataFrame:

@@ -83,7 +83,7 @@ def _queries():
     def requests(spark, d):
         ev = corpus.table(spark, d, "events")
         user = F.col("user_id").cast("string")
-        return ev.select(F.col("event_id").alias("request_id"), throttle.bucket(user, "a").alias("visitor"), throttle.bucket(user, "a").alias("connection"), "ts")
+        return ev.select(F.col("event_id").alias("request_id"), throttle.bucket(user, "a").alias("visitor"), throttle.bucket((F.col("user_id") % 97).cast("string"), "b").alias("connection"), "ts")
 
     return {
         "search_hits": lambda s, d: flagship(s, d).select("query_id", "id", "title", "snippet", F.round("score", 6).alias("score")),

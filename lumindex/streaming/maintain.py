@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,10 +27,11 @@ def dirty(changes: DataFrame) -> DataFrame:
 
 
 class Versions:
-    """Index versions in one folder: ``v<batch>`` directories; the last whole one is current.
+    """Index versions in one folder: ``v<number>`` directories; the last whole one is current.
 
-    A batch writes its own directory and then a marker, so a batch that is run again after a failure writes the same
-    version anew, from the version before it, and readers never see half of one.
+    A rebuild or a batch takes the number after the current one, writes its directory and then a marker, so readers never see
+    half of one. A batch notes its number first: run again after a failure, it writes the same version anew, from the
+    version before it, unless a newer one has come meanwhile.
     """
 
     def __init__(self, spark: SparkSession, folder: str):
@@ -58,6 +60,20 @@ class Versions:
         index.write(f"{self.folder}/v{number}")
         fs.create(self._path(f"v{number}.done")).close()
 
+    def next(self) -> int:
+        return (self.numbers() or [-1])[-1] + 1
+
+    def claimed(self, batch: str) -> int:
+        """The number of a batch: the one that it noted, if nothing newer is there, or else the next."""
+        fs, last = self._fs(), (self.numbers() or [-1])[-1]
+        names = [s.getPath().getName() for s in fs.listStatus(self._path(""))] if fs.exists(self._path("")) else []
+        noted = [int(n.rpartition("_v")[2]) for n in names if n.startswith(f"batch_{batch}_v")]
+        if noted and max(noted) >= last:
+            return max(noted)
+        number = last + 1
+        fs.create(self._path(f"batch_{batch}_v{number}")).close()
+        return number
+
     def drop(self) -> None:
         """All versions go; settings are kept elsewhere."""
         self._fs().delete(self._path(""), True)
@@ -66,28 +82,35 @@ class Versions:
         for n in self.numbers()[:-keep]:
             self._fs().delete(self._path(f"v{n}.done"), False)
             self._fs().delete(self._path(f"v{n}"), True)
+        last = (self.numbers() or [-1])[-1]
+        for s in self._fs().listStatus(self._path("")) if last >= 0 else []:
+            name = s.getPath().getName()
+            if name.startswith("batch_") and int(name.rpartition("_v")[2]) < last:
+                self._fs().delete(s.getPath(), False)
 
 
-def rebuild(versions: Versions, posts: DataFrame, post_terms: DataFrame, cfg: SearchConfig, number: int = 0, done: Callable[[], None] | None = None) -> ix.Index:
-    """A full build as a new version; the old one answers until the new one is whole."""
-    versions.put(ix.build(posts, post_terms, cfg), number)
+def rebuild(versions: Versions, posts: DataFrame, post_terms: DataFrame, cfg: SearchConfig, number: int | None = None, done: Callable[[], None] | None = None) -> ix.Index:
+    """A full build as the version after the current one, which answers until the new one is whole; batches follow on."""
+    versions.put(ix.build(posts, post_terms, cfg), versions.next() if number is None else number)
     if done:
         done()
     return versions.current()
 
 
-def apply_batch(versions: Versions, changes: DataFrame, batch: int, load: Callable[[], tuple[DataFrame, DataFrame]], cfg: SearchConfig) -> None:
+def apply_batch(versions: Versions, changes: DataFrame, batch: int, load: Callable[[], tuple[DataFrame, DataFrame]], cfg: SearchConfig, stream: str = "") -> None:
     """One micro-batch: distinct posts, then an upsert on the version before. A stale or missing index is built anew."""
     posts, post_terms = load()
-    old = versions.current(before=batch + 1)
+    number = versions.claimed(f"{stream}{batch}")
+    old = versions.current(before=number)
     new = ix.build(posts, post_terms, cfg) if old is None or old.stale(cfg) else ix.upsert(old, dirty(changes), posts, post_terms, cfg)
-    versions.put(new, batch + 1)
+    versions.put(new, number)
     versions.prune()
 
 
 def start(changes: DataFrame, versions: Versions, load, cfg: SearchConfig, checkpoint: str, delay: str = "60 seconds", once: bool = False):
     """The streaming query. The trigger interval is the debounce: what comes in between is one batch."""
-    writer = changes.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda df, batch: apply_batch(versions, df, batch, load, cfg))
+    stream = hashlib.md5(checkpoint.encode()).hexdigest()[:8] + "-"
+    writer = changes.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda df, batch: apply_batch(versions, df, batch, load, cfg, stream))
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=delay)).start()
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 LIMIT = 120
 WINDOW = 60.0
@@ -23,7 +24,7 @@ def client_address(*candidates: Column) -> Column:
 
 
 class Counters:
-    """Counts of one transport bucket and of the visitor buckets behind it."""
+    """Counts of visitor buckets and of the transport buckets that they come through, each on its own."""
 
     def __init__(self, limit: int = LIMIT, window: float = WINDOW, transport: int = TRANSPORT):
         self.limit, self.window, self.most = limit, window, limit * transport
@@ -42,24 +43,71 @@ class Counters:
         return True
 
 
+def forest(pairs: pd.DataFrame) -> pd.DataFrame:
+    """Pairs that connect the same buckets: fewer than there are buckets."""
+    parent: dict[str, str] = {}
+
+    def root(x: str) -> str:
+        while parent.setdefault(x, x) != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    kept = []
+    for v, c in zip(pairs["visitor"], pairs["connection"], strict=True):
+        a, b = root("v" + v), root("t" + c)
+        if a != b:
+            parent[max(a, b)] = min(a, b)
+            kept.append((v, c))
+    return pd.DataFrame(kept, columns=["visitor", "connection"])
+
+
+def components(requests: DataFrame) -> dict[str, str]:
+    """Connection bucket -> the group of buckets that requests connect. At most two buckets for each of 16**BUCKET numbers, so few rows reach the driver."""
+
+    def run(batches):
+        kept = pd.DataFrame(columns=["visitor", "connection"])
+        for pdf in batches:
+            kept = forest(pd.concat([kept, pdf.drop_duplicates()]))
+        yield kept
+
+    pairs = requests.select("visitor", "connection").distinct().mapInPandas(run, "visitor string, connection string")
+    links = forest(pairs.coalesce(8).mapInPandas(run, "visitor string, connection string").toPandas())
+    group: dict[str, str] = {}
+    for v, c in zip(links["visitor"], links["connection"], strict=True):
+        a, b = group.get("v" + v, "v" + v), group.get("t" + c, "t" + c)
+        low = min(a, b)
+        group |= {x: low for x, g in group.items() if g in (a, b)} | {"v" + v: low, "t" + c: low}
+    return {x[1:]: g for x, g in group.items() if x[0] == "t"}
+
+
 def throttled(requests: DataFrame, limit: int = LIMIT, window: float = WINDOW, transport: int = TRANSPORT) -> DataFrame:
-    """``requests(request_id, visitor, connection, ts)`` with ``accepted``, decided in order of time.
+    """``requests(visitor, connection, ts, ...)`` with ``accepted``, decided in order of time (of equal times, of request_id).
 
-    Both counters must be seen together. A visitor is taken to come through one connection bucket, which is the key
-    here; requests are sorted by Spark and handed to Python in bounded batches with the counters carried over.
+    A visitor bucket may come through several connection buckets and these serve several visitors, so all requests that
+    share counters, directly or by way of others, are seen together: they are dealt by the group of buckets that they connect, sorted by Spark and handed to
+    Python in bounded batches with the counters carried over. Null buckets count as ``unknown``; every row comes back, whatever its id.
     """
-    schema = "request_id long, accepted boolean"
-    parts = max(1, int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    dealt = requests.select("request_id", "visitor", "connection", F.unix_micros(F.col("ts").cast("timestamp")).alias("at")).repartition(parts, "connection").sortWithinPartitions("connection", "at", "request_id")
+    spark = requests.sparkSession
+    known = requests.withColumn("visitor", F.coalesce("visitor", F.lit("unknown"))).withColumn("connection", F.coalesce("connection", F.lit("unknown")))
+    group = components(known)
+    groups = spark.createDataFrame(list(group.items()), "connection string, __group string")
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    order = ["__group", "__at", *(["request_id"] if "request_id" in requests.columns else [])]
+    # At most 16**BUCKET groups' names.
+    dealt = known.withColumn("__at", at).join(F.broadcast(groups), "connection").repartition(parts, "__group").sortWithinPartitions(*order)
+    schema = StructType([*requests.schema.fields, StructField("accepted", BooleanType())])
+    names = requests.columns
 
     def run(batches):
-        now_at, counters = None, None
+        now, counters = None, None
         for pdf in batches:
             out = []
-            for r in pdf.itertuples(index=False):
-                if r.connection != now_at:
-                    now_at, counters = r.connection, Counters(limit, window, transport)
-                out.append((r.request_id, counters.accept(r.visitor, r.connection, r.at / 1e6)))
-            yield pd.DataFrame(out, columns=["request_id", "accepted"])
+            for g, v, c, t in zip(pdf["__group"], pdf["visitor"], pdf["connection"], pdf["__at"], strict=True):
+                if g != now:
+                    now, counters = g, Counters(limit, window, transport)
+                out.append(counters.accept(v, c, t / 1e6))
+            yield pdf[names].assign(accepted=out)
 
-    return requests.join(dealt.mapInPandas(run, schema), "request_id")
+    return dealt.select(*names, "__group", "__at").mapInPandas(run, schema)

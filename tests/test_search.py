@@ -156,3 +156,35 @@ def test_vocabulary_limit_switches_typos_off(spark, index, posts):
 
 def test_posts_with_term(names):
     assert [r["post_id"] for r in corpus.posts_with_term(names, "category", "portrait").collect()] == [1]
+
+
+def test_throttle_counts_visitors_and_connections_apart(spark):
+    """Six requests of one visitor over two connections, and a crowd behind a few connections, as one run in order of time."""
+    import random
+
+    r = random.Random(3)
+    rows = [(i, "v", f"c{i % 2}", float(i)) for i in range(6)] + [(None, "n", "c9", 1.0), (7, "d", "c9", 2.0), (7, "d", "c9", 3.0)]
+    rows += [(100 + i, f"w{r.randrange(30)}", f"x{r.randrange(4)}", 10.0 + i) for i in range(400)]
+    df = spark.createDataFrame(rows, "request_id long, visitor string, connection string, ts double")
+    c = throttle.Counters(limit=3, window=50.0, transport=5)
+    want = sorted((row[3], c.accept(row[1], row[2], row[3])) for row in sorted(rows, key=lambda x: (x[3], x[0] or 0)))
+    got = sorted((row["ts"], row["accepted"]) for row in throttle.throttled(df, limit=3, window=50.0, transport=5).collect())
+    assert got == want and sum(a for t, a in got if t < 6.5) == 3 + 3 and not all(a for _, a in got[9:])
+
+
+def test_rebuild_follows_the_current_version(spark, posts, names, tmp_path):
+    versions = maintain.Versions(spark, f"file://{tmp_path}/ix")
+    some = posts.where("post_id <> 2")
+    maintain.rebuild(versions, some, names, CFG)
+    changes = spark.createDataFrame([(2, "post")], "post_id long, kind string").selectExpr("timestamp'2020-01-01' as event_time", "post_id", "kind", "cast(null as string) as old_status", "'publish' as new_status")
+    for batch in (0, 1, 1):
+        maintain.apply_batch(versions, changes, batch, lambda: (posts, names), CFG)
+    assert versions.numbers() == [1, 2]
+    maintain.rebuild(versions, some, names, CFG)
+    assert versions.current().postings.where("post_id = 2").count() == 0
+    maintain.apply_batch(versions, changes, 0, lambda: (posts, names), CFG)  # another checkpoint: batches start again
+    assert versions.numbers()[-1] == 4 and versions.current().postings.where("post_id = 2").count() > 0
+
+
+def test_hash_tells_of_shortcodes():
+    assert replace(CFG, shortcodes=("box",)).pipeline_hash() != CFG.pipeline_hash() == replace(CFG, typeahead_max=3).pipeline_hash()
