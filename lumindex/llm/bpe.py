@@ -36,7 +36,7 @@ from . import common
 
 # The published byte-level pre-tokenizer pattern (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-CACHE = 200_000  # entries that a worker's word and pair memos may hold before they are emptied
+CACHE = 500_000  # entries that a worker's word and pair memos may hold before they are emptied
 WORD = 64  # bytes; longer pieces go through the streaming buffer and are not memoised
 SLICE = 1 << 16  # characters of a text without longer white space that are taken at a time
 STEP = 4096  # strings of ids, or ids, that are handed on at a time
