@@ -1,9 +1,9 @@
 """Approximate nearest neighbours: a hierarchical navigable small-world graph per shard, shard results merged.
 
 Equal vectors are indexed once, with their ``k + 1`` smallest ids: more can never be among a query's ``k`` nearest. Distinct
-vectors are dealt over shards of about ``SHARD``; a shard inserts its vectors one after another on layers
-drawn from an exponential distribution, links each to a diverse choice of its nearest among those before it, and keeps
-neighbours as flat arrays. Every query vector descends greedily to the bottom layer, searches there with a beam of
+vectors are dealt over shards of about ``SHARD``; a shard inserts its vectors one after another, in order of their smallest id, on layers
+drawn from an exponential distribution: each searches the graph of those before it, links to a diverse choice of what it finds, and
+neighbours are kept as flat arrays. Every query vector descends greedily to the bottom layer, searches there with a beam of
 ``beam``, and its candidates are scored by the cosine in double precision; the merged best ``k`` are returned.
 
 Defined results: null, empty or zero vectors, vectors with null or non-finite components and rows with null ids take no
@@ -26,7 +26,7 @@ from . import common
 
 SHARD = 8192
 LINKS = 16  # neighbours chosen on insertion; twice as many stay on the bottom layer
-POOL = 64  # nearest earlier vectors that the choice is made from
+POOL = 64  # beam of an insertion's search; the choice is made from what it finds
 BEAM = 128
 
 
@@ -37,47 +37,50 @@ def usable(v: Column) -> Column:
 
 
 class Graph:
-    """Layers of flat neighbour arrays: ``links[layer][node]`` padded with -1, ``size[layer][node]`` in use."""
+    """Layers of flat neighbour arrays: ``links[layer][node]`` padded with -1, ``size[layer][node]`` in use.
+
+    Vectors are inserted in order: each descends greedily to its own highest layer, searches that and all layers below with a beam of
+    ``POOL`` over what was inserted before it, and links to a diverse choice of what the beam found.
+    """
 
     def __init__(self, unit: np.ndarray, seed: int = 7):
         self.unit = unit = unit.astype(np.float32)
         n = len(unit)
         rng = np.random.default_rng(seed)
         self.level = np.minimum((-np.log(1 - rng.random(n)) / math.log(LINKS)).astype(int), 8)
-        top = int(self.level.max(initial=0))
-        self.links = [np.full((n, 4 * LINKS if layer == 0 else 2 * LINKS), -1, np.int32) for layer in range(top + 1)]
-        self.size = [np.zeros(n, np.int32) for _ in range(top + 1)]
-        self.entry = int(np.argmax(self.level)) if n else -1
-        for layer in range(top + 1):
-            self.build(layer, np.flatnonzero(self.level >= layer))
-
-    def build(self, layer: int, nodes: np.ndarray) -> None:
+        layers = int(self.level.max(initial=0)) + 1
+        self.links = [np.full((n, 4 * LINKS if layer == 0 else 2 * LINKS), -1, np.int32) for layer in range(layers)]
+        self.size = [np.zeros(n, np.int32) for _ in range(layers)]
+        self.entry, self.top = 0 if n else -1, int(self.level[0]) if n else -1
+        for node in range(1, n):
+            self.insert(node)
+
+    def insert(self, me: int) -> None:
+        q, level = self.unit[me], int(self.level[me])
+        starts = [self.descended(q, level)]
+        for layer in range(min(level, self.top), -1, -1):
+            found = sorted(self.beam(q, layer, starts, POOL), reverse=True)
+            self.connect(layer, me, np.array([x for _, x in found]))
+            starts = found
+        if level > self.top:
+            self.entry, self.top = me, level
+
+    def connect(self, layer: int, me: int, pool: np.ndarray) -> None:
+        """Links in both directions; a neighbour's full list is cut down to a diverse choice."""
         unit, links, size = self.unit, self.links[layer], self.size[layer]
-        most = 2 * LINKS if layer == 0 else LINKS
-        near = unit[nodes]
-        for begin in range(0, len(nodes), 256):
-            block = near[begin : begin + 256] @ near[: begin + 256].T
-            for r in range(len(block)):
-                i = begin + r
-                if not i:
-                    continue
-                sims = block[r, :i]
-                pool = np.argpartition(-sims, POOL)[:POOL] if i > POOL else np.arange(i)
-                pool = nodes[pool[np.argsort(-sims[pool], kind="stable")]]
-                me = nodes[i]
-                chosen = self.diverse(me, pool, LINKS)
-                links[me, : len(chosen)] = chosen
-                size[me] = len(chosen)
-                for c in chosen:
-                    if size[c] == links.shape[1]:
-                        old = links[c]
-                        old = old[np.argsort(-(unit[old] @ unit[c]), kind="stable")]
-                        best = self.diverse(c, old, most)
-                        links[c] = -1
-                        links[c, : len(best)] = best
-                        size[c] = len(best)
-                    links[c, size[c]] = me
-                    size[c] += 1
+        chosen = self.diverse(me, pool, LINKS)
+        links[me, : len(chosen)] = chosen
+        size[me] = len(chosen)
+        for c in chosen:
+            if size[c] == links.shape[1]:
+                old = links[c]
+                old = old[np.argsort(-(unit[old] @ unit[c]), kind="stable")]
+                best = self.diverse(c, old, links.shape[1] // 2)
+                links[c] = -1
+                links[c, : len(best)] = best
+                size[c] = len(best)
+            links[c, size[c]] = me
+            size[c] += 1
 
     def diverse(self, node: int, pool: np.ndarray, most: int) -> np.ndarray:
         """Of candidates in order of nearness, those nearer to ``node`` than to any chosen before; filled up with the nearest left."""
@@ -96,12 +99,11 @@ class Graph:
                 left.append(i)
         return pool[chosen + left[: max(0, most - len(chosen))]]
 
-    def search(self, q: np.ndarray, k: int, beam: int) -> np.ndarray:
-        """Nodes near to the unit vector ``q``, the best of the bottom layer's beam."""
-        unit = self.unit
-        q = q.astype(np.float32)
-        at, sim = self.entry, float(unit[self.entry] @ q)
-        for layer in range(len(self.links) - 1, 0, -1):
+    def descended(self, q: np.ndarray, level: int) -> tuple[float, int]:
+        """The node that greedy steps through the layers above ``level`` end at, after its similarity."""
+        unit, at = self.unit, self.entry
+        sim = float(unit[at] @ q)
+        for layer in range(self.top, level, -1):
             while True:
                 near = self.links[layer][at, : self.size[layer][at]]
                 if not len(near):
@@ -111,32 +113,43 @@ class Graph:
                 if sims[j] <= sim:
                     break
                 at, sim = int(near[j]), float(sims[j])
+        return sim, at
+
+    def beam(self, q: np.ndarray, layer: int, starts: list[tuple[float, int]], width: int) -> list[tuple[float, int]]:
+        """The ``width`` nearest nodes (similarity, node) that a best-first search of one layer meets from ``starts``."""
+        unit, links, size = self.unit, self.links[layer], self.size[layer]
         seen = np.zeros(len(unit), bool)
-        seen[at] = True
-        todo, best = [(-sim, at)], [(sim, at)]
-        links, size = self.links[0], self.size[0]
+        seen[[x for _, x in starts]] = True
+        todo, best = [(-s, x) for s, x in starts], list(starts)
+        heapq.heapify(todo)
+        heapq.heapify(best)
         while todo:
             s, at = heapq.heappop(todo)
-            if len(best) >= beam and -s < best[0][0]:
+            if len(best) >= width and -s < best[0][0]:
                 break
             near = links[at, : size[at]]
             near = near[~seen[near]]
-            seen[near] = True
             if not len(near):
                 continue
+            seen[near] = True
             sims = unit[near] @ q
-            if len(best) >= beam:
+            if len(best) >= width:
                 keep = sims > best[0][0]
                 near, sims = near[keep], sims[keep]
             for s, x in zip(sims.tolist(), near.tolist(), strict=True):
-                if len(best) < beam:
+                if len(best) < width:
                     heapq.heappush(best, (s, x))
                 elif s > best[0][0]:
                     heapq.heapreplace(best, (s, x))
                 else:
                     continue
                 heapq.heappush(todo, (-s, x))
-        return np.array([x for _, x in best])
+        return best
+
+    def search(self, q: np.ndarray, beam: int) -> np.ndarray:
+        """Nodes near to the unit vector ``q``, the best of the bottom layer's beam."""
+        q = q.astype(np.float32)
+        return np.array([x for _, x in self.beam(q, 0, [self.descended(q, 0)], beam)])
 
 
 def matrix(column: pa.ChunkedArray) -> np.ndarray:
@@ -164,12 +177,14 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, beam: int = BEAM, sh
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out: tuple[list, list, list] = ([], [], [])
         if left.num_rows and right.num_rows:
+            # In order of ids, so that a task that runs again builds the same graph.
+            left = left.take(pa.array(np.argsort([i[0] for i in left.column("ids").to_pylist()])))
             v, q = matrix(left.column("v")), matrix(right.column("v"))
             norm = np.sqrt((v * v).sum(axis=1))
             graph, ids = Graph(v / norm[:, None]), left.column("ids").to_pylist()
             for rep, x in zip(right.column("rep").to_pylist(), q, strict=True):
                 length = math.sqrt(float((x * x).sum()))
-                near = graph.search(x / length, k, beam)
+                near = graph.search(x / length, beam)
                 scores = (v[near] * x).sum(axis=1) / (norm[near] * length)
                 found = sorted((-s, i) for s, n in zip(scores.tolist(), near.tolist(), strict=True) for i in ids[n])[: k + 1]
                 out[0].extend([rep] * len(found))

@@ -279,3 +279,22 @@ def test_minhash_rows_that_share_an_id(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_shingles", F.lit("clash"))
     out = sorted((r["doc_id"], r["component_id"]) for r in minhash.near_duplicates(df).collect())
     assert out == [(1, 1), (5, 1), (5, 1), (7, 1), (8, 1), (9, 9), (10, 9), (10, 9), (11, 11)]
+
+
+def test_nearest_ties_and_repeated_ids(spark):
+    """Of equal scores the smaller id comes first; rows that share an id are one candidate at its best score; lengths do not mix."""
+    rows = [(50, [1.0, 0.0]), (3, [0.0, 1.0]), (9, [0.0, 2.0]), (1, [0.0, -1.0]), (7, [2.0, 0.0]), (7, [0.0, -3.0]), (4, [5.0, 0.0]), (8, [1.0, 0.0, 0.0]), (None, [1.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("score", F.lit("clash"))
+    out = hnsw.nearest(df, df.where("vec_id = 50").withColumnRenamed("vec_id", "query_id"), 4).orderBy("rank").collect()
+    assert [(r["vec_id"], r["score"]) for r in out] == [(4, 1.0), (7, 1.0), (1, 0.0), (3, 0.0)]
+
+
+def test_graph_finds_what_it_was_built_from():
+    """Insertion through the graph: every node is reached, lists stay in their width, and the same order gives the same graph."""
+    v = np.random.default_rng(2).normal(size=(1500, 16))
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    g, again = hnsw.Graph(v), hnsw.Graph(v)
+    assert all((a == b).all() for a, b in zip(g.links, again.links, strict=True))
+    assert sum(i in g.search(v[i], 32) for i in range(len(v))) >= 0.99 * len(v)
+    assert all((links[np.arange(links.shape[1]) < n[:, None]] >= 0).all() for links, n in zip(g.links, g.size, strict=True))
+    assert hnsw.Graph(v[:0]).entry == -1 and list(hnsw.Graph(v[:1]).search(v[0], 8)) == [0]
