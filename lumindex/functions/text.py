@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import string
+import unicodedata
 from functools import reduce
 
 import pandas as pd
@@ -11,13 +13,26 @@ from pyspark.sql import types as T
 
 from ..config import SearchConfig
 
+# What separates tokens, and what is cut out of HTML.
 SPLIT = r"[\p{Z}\p{P}\p{C}\s]+"
-# Letters that fold to one ASCII letter; ligatures and the like follow one by one.
-FOLD_FROM = "ÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖØÙÚÛÜÝàáâãäåçèéêëìíîïñòóôõöøùúûüýÿ"
-FOLD_TO = "AAAAAACEEEEIIIINOOOOOOUUUUYaaaaaaceeeeiiiinoooooouuuuyy"
-FOLD_MORE = {"ß": "s", "æ": "ae", "Æ": "AE", "œ": "oe", "Œ": "OE", "þ": "th", "Þ": "TH", "ð": "d", "Ð": "D"}
+# Letters that fold to one ASCII letter: those of these ranges that decompose to one, and the fixed values below. Combining marks go.
+FOLD_RANGES = ((0xC0, 0x17F), (0x1A0, 0x1A1), (0x1AF, 0x1B0), (0x1CD, 0x1DC), (0x218, 0x21B), (0x1EA0, 0x1EF9))
+# Letters and signs that do not decompose; ligatures and the like follow one by one; the pound sign goes.
+FOLD_OTHER = {"Ø": "O", "ø": "o", "Đ": "D", "đ": "d", "Ħ": "H", "ħ": "h", "ı": "i", "ĸ": "k", "Ł": "L", "ł": "l", "Ŋ": "N", "ŋ": "n", "Ŧ": "T", "ŧ": "t", "ŉ": "n", "Ŀ": "L", "ŀ": "l", "ſ": "s", "ɑ": "a", "ª": "a", "º": "o", "€": "E"}
+FOLD_MORE = {"ß": "s", "æ": "ae", "Æ": "AE", "œ": "oe", "Œ": "OE", "þ": "th", "Þ": "TH", "ð": "d", "Ð": "D", "ĳ": "ij", "Ĳ": "IJ"}
+
+
+def folding() -> tuple[str, str]:
+    """What ``translate`` maps, and to what; characters beyond the second string's end are removed."""
+    found = {chr(c): unicodedata.normalize("NFD", chr(c))[0] for lo, hi in FOLD_RANGES for c in range(lo, hi + 1)}
+    found = {c: base for c, base in found.items() if base != c and base in string.ascii_letters} | FOLD_OTHER
+    return "".join(found) + "£" + "".join(map(chr, range(0x300, 0x370))), "".join(found.values())
+
+
+FOLD_FROM, FOLD_TO = folding()
 # The entities decoded without leaving the JVM; ampersands come last so that nothing is decoded twice.
 ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#039;": "'", "&#39;": "'", "&apos;": "'", "&nbsp;": " ", "&middot;": "·", "&copy;": "©", "&amp;": "&"}
+# Block marks, comments, scripts and styles.
 MARKED = (r"(?s)<!--\s*/?wp:.*?-->", r"(?s)<!--.*?-->", r"(?is)<(script|style)\b[^>]*>.*?</\1>")
 TOKEN_LIMIT = 64  # characters and bytes of a term
 

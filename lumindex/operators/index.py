@@ -71,10 +71,29 @@ def vocabulary(postings: DataFrame) -> DataFrame:
 
 def statistics(postings: DataFrame, terms: DataFrame) -> DataFrame:
     """One row: doc_count, terms, and per field the sum of lengths and the number of posts that have it."""
+    return from_counts(counts(postings), terms)
+
+
+def counts(postings: DataFrame) -> DataFrame:
+    """What statistics add up: per field the sum of lengths and the number of posts, and the posts of all fields in a row of field null."""
     per_field = postings.select("post_id", "field", "dl").distinct()
-    sums = per_field.groupBy("field").agg(F.sum("dl").alias("tokens"), F.count("*").alias("docs"))
-    maps = sums.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("field", "tokens")))).alias("field_tokens"), F.map_from_entries(F.sort_array(F.collect_list(F.struct("field", "docs")))).alias("field_docs"))
-    return per_field.select("post_id").distinct().agg(F.count("*").alias("doc_count")).crossJoin(terms.agg(F.count("*").alias("terms"))).crossJoin(maps)
+    posts = per_field.select("post_id").distinct().agg(F.lit(None).cast("tinyint").alias("field"), F.lit(0).cast("long").alias("tokens"), F.count("*").alias("docs"))
+    return per_field.groupBy("field").agg(F.sum("dl").alias("tokens"), F.count("*").alias("docs")).unionByName(posts)
+
+
+def from_counts(rows: DataFrame, terms: DataFrame) -> DataFrame:
+    """Statistics from ``counts``; fields without posts go."""
+    has = F.col("field").isNotNull() & (F.col("docs") > 0)
+    of = lambda c: F.map_from_entries(F.sort_array(F.collect_list(F.when(has, F.struct("field", c))))).alias(f"field_{c}")
+    doc_count = F.coalesce(F.sum(F.when(F.col("field").isNull(), F.col("docs"))), F.lit(0)).alias("doc_count")
+    sums = rows.agg(doc_count, of("tokens"), of("docs"))
+    return sums.crossJoin(terms.agg(F.count("*").alias("terms"))).select("doc_count", "terms", "field_tokens", "field_docs")
+
+
+def counted_back(stats: DataFrame) -> DataFrame:
+    """The rows of ``counts`` that statistics were made from."""
+    fields = stats.select(F.explode("field_tokens").alias("field", "tokens"), "field_docs").select("field", "tokens", F.col("field_docs")[F.col("field")].alias("docs"))
+    return fields.unionByName(stats.select(F.lit(None).cast("tinyint").alias("field"), F.lit(0).cast("long").alias("tokens"), F.col("doc_count").alias("docs")))
 
 
 def build(posts: DataFrame, post_terms: DataFrame, cfg: SearchConfig, should_index: Column | None = None, general: bool = False) -> Index:
@@ -95,7 +114,9 @@ def upsert(index: Index, changed: DataFrame, posts: DataFrame, post_terms: DataF
     postings = index.postings.join(ids, "post_id", "left_anti").unionByName(fresh.postings)
     delta = vocabulary(fresh.postings).unionByName(vocabulary(gone).withColumn("doc_freq", -F.col("doc_freq")))
     terms = index.terms.unionByName(delta).groupBy("term").agg(F.sum("doc_freq").alias("doc_freq")).where("doc_freq > 0")
-    return Index(postings, terms, statistics(postings, terms), cfg.pipeline_hash())
+    less = counts(gone).withColumns({"tokens": -F.col("tokens"), "docs": -F.col("docs")})
+    rows = counted_back(index.stats).unionByName(counts(fresh.postings)).unionByName(less).groupBy("field").agg(F.sum("tokens").alias("tokens"), F.sum("docs").alias("docs"))
+    return Index(postings, terms, from_counts(rows, terms), cfg.pipeline_hash())
 
 
 def missing_terms(wanted: DataFrame, terms: DataFrame) -> DataFrame:

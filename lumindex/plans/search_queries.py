@@ -72,8 +72,7 @@ def _queries():
 
     def suggest_merge(spark, d):
         server = hits(spark, d, PLAIN).where("rank <= 5").select("query_id", "rank", F.col("post_id").alias("id"))
-        found = typeahead.docs(posts(spark, d), CFG).select("id").join(F.broadcast(lit(spark).select("query_id")), (F.col("id") + F.col("query_id")) % 97 == 0)
-        local = found.withColumn("rank", F.col("id"))
+        local = typeahead.suggest(lit(spark), posts(spark, d), CFG)
         return typeahead.merged(server, local, CFG.typeahead_max).select("query_id", F.col("rank").cast("long").alias("rank"), "id")
 
     def snippets(spark, d):
@@ -154,8 +153,14 @@ def sql_replace(x: str, pairs: dict[str, str]) -> str:
     return x
 
 
+# Written out, not imported: DuckDB strips what decomposes, these are the rest.
+SQL_FOLD_FROM = "ØøĐđĦħıĸŁłŊŋŦŧŉĿŀſɑªº€£"
+SQL_FOLD_TO = "OoDdHhikLlNnTtnLlsaaoE"
+SQL_FOLD_MORE = {"ß": "s", "æ": "ae", "Æ": "AE", "œ": "oe", "Œ": "OE", "þ": "th", "Þ": "TH", "ð": "d", "Ð": "D", "ĳ": "ij", "Ĳ": "IJ"}
+
+
 def sql_fold(x: str) -> str:
-    return f"lower({sql_replace(f'''translate({x}, '{tx.FOLD_FROM}', '{tx.FOLD_TO}')''', tx.FOLD_MORE)})"
+    return f"lower(strip_accents({sql_replace(f'''translate({x}, '{SQL_FOLD_FROM}', '{SQL_FOLD_TO}')''', SQL_FOLD_MORE)}))"
 
 
 def sql_split(x: str) -> str:
@@ -272,10 +277,6 @@ ORACLES = {
     "contains_fallback": f"WITH {BASE} SELECT CAST(query_id AS BIGINT) AS query_id, post_id FROM seen, q WHERE trim(q) <> '' AND (contains(lower(title), lower(trim(q))) OR contains(lower(content), lower(trim(q))) OR contains(lower(excerpt), lower(trim(q))))",
     "missing_terms": f"WITH {INDEX},{query_side()} SELECT DISTINCT token AS term FROM qt WHERE token NOT IN (SELECT term FROM terms)",
     "typeahead_docs": f"WITH {BASE} SELECT post_id AS id, title, url, CASE post_type WHEN 'post' THEN 'Post' ELSE 'Page' END AS type_label FROM seen ORDER BY minutes DESC, post_id DESC LIMIT {typeahead.CAP}",
-    "suggest_merge": scored(EXACT) + f""", newest AS (SELECT post_id AS id FROM seen ORDER BY minutes DESC, post_id DESC LIMIT {typeahead.CAP}),
-        server AS (SELECT query_id, post_id AS id, rank FROM r WHERE rank <= 5),
-        both_sides AS (SELECT query_id, id, rank, 0 AS side FROM server UNION ALL SELECT CAST(q.query_id AS BIGINT), n.id, n.id, 1 FROM newest n JOIN q ON (n.id + q.query_id) % 97 = 0 WHERE (q.query_id, n.id) NOT IN (SELECT (query_id, id) FROM server))
-        SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY side, rank, id) AS rank, id FROM both_sides QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY side, rank, id) <= 8""",
     "highlight_words": f"WITH {BASE} SELECT query_id, coalesce(array_to_string(list_transform(list_sort(list_transform(list_filter(regexp_split_to_array(q, '{RE_SPLIT}'), lambda w: length(w) >= 2), lambda w, i: {{'n': -length(w), 'i': i, 'w': w}}))[1:10], lambda s: s.w), '|'), '') AS words FROM log",
     "incremental_upsert": f"WITH {INDEX} SELECT term, doc_freq FROM terms",
     "index_version": f"WITH {INDEX} SELECT substr(md5('[' || n || ',' || (SELECT count(*) FROM terms) || ',{CFG.pipeline_hash()}]'), 1, 12) AS version FROM doc_count",

@@ -55,11 +55,11 @@ def eligible(p: DataFrame, cfg: SearchConfig, should_index: Column | None = None
     return p if should_index is None else p.where(should_index)
 
 
-def allowed_types(requested: list[str] | None, cfg: SearchConfig) -> list[str]:
-    """Types to search: all indexed ones if none or 'any' is asked for, else the common ones."""
-    if not requested or "any" in requested:
+def allowed_types(requested: list[str] | str | None, cfg: SearchConfig) -> list[str]:
+    """Types to search: all indexed ones if none or the word 'any' is asked for, else the common ones; in a list 'any' is a name like others."""
+    if not requested or requested == "any":
         return list(cfg.post_types)
-    return [t for t in cfg.post_types if t in requested]
+    return [t for t in cfg.post_types if t in ([requested] if isinstance(requested, str) else requested)]
 
 
 def taxonomy_text(terms: DataFrame, cfg: SearchConfig) -> DataFrame:

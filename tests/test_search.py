@@ -188,3 +188,18 @@ def test_rebuild_follows_the_current_version(spark, posts, names, tmp_path):
 
 def test_hash_tells_of_shortcodes():
     assert replace(CFG, shortcodes=("box",)).pipeline_hash() != CFG.pipeline_hash() == replace(CFG, typeahead_max=3).pipeline_hash()
+
+
+def test_type_scoping():
+    assert corpus.allowed_types(None, CFG) == corpus.allowed_types("any", CFG) == ["post", "page"]
+    assert corpus.allowed_types(["any", "page"], CFG) == corpus.allowed_types("page", CFG) == ["page"] and corpus.allowed_types(["any"], CFG) == []
+
+
+def test_statistics_follow_deltas(spark, posts, names, index):
+    """Deletes and edits leave the statistics of a build from scratch, down to none."""
+    ids = spark.createDataFrame([(2,), (5,), (7,), (99,)], "post_id long")
+    now = posts.where("post_id <> 2").withColumn("excerpt", F.when(F.col("post_id") == 5, "").otherwise(F.col("excerpt")))
+    after = ix.upsert(index, ids, now, names, CFG)
+    assert after.stats.first().asDict() == ix.build(now, names, CFG).stats.first().asDict()
+    gone = ix.upsert(index, posts.select("post_id"), posts.where("false"), names, CFG).stats.first()
+    assert (gone["doc_count"], gone["terms"], gone["field_tokens"], gone["field_docs"]) == (0, 0, {}, {})

@@ -36,6 +36,7 @@ def test_clean_shortcodes_and_general_entities(spark):
 
 def test_fold_and_tokens(spark):
     assert one(spark, F.lower(tx.fold(F.col("c0"))), "Été Straße ŒUVRE") == "ete strase oeuvre"
+    assert one(spark, tx.fold(F.col("c0")), "Łódź Škoda őrség Ơn cafe\u0301 Ǝ £5 €5") == "Lodz Skoda orseg On cafe Ǝ 5 E5"
     cfg = SearchConfig()
     assert one(spark, tx.tokens(F.col("c0"), cfg), "the photo x Photo studio") == ["photo", "photo", "studio"]
     custom = SearchConfig(stopwords_mode="custom", stopwords_custom="Photo, été")
