@@ -221,6 +221,23 @@ def test_fuzzy_lines_equal_brute_force(spark):
     assert got <= want and len(got) >= 0.9 * len(want) > 100
 
 
+def test_fuzzy_lines_with_edits_at_both_ends(spark):
+    """Words replaced in the first six and the last six, or all over a long line, leave blocks between them."""
+    lines = [[word() for _ in range(R.randint(40, 70))] for _ in range(60)]
+    ends = [[word() if i in (1, 4, len(w) - 5, len(w) - 2) else x for i, x in enumerate(w)] for w in lines]
+    spread = [[word() if i % 10 == 4 else x for i, x in enumerate(w)] for w in lines]
+    got = removed(spark, [" ".join(w) for w in lines + ends + spread])
+    assert got <= set(range(60, 180)) and len(got) >= 0.99 * 120
+
+
+def test_fuzzy_lines_with_a_common_passage(spark):
+    """A passage in lines that are unlike otherwise, and near copies of one line among them: only the copies go."""
+    passage, base = [word() for _ in range(14)], [word() for _ in range(30)]
+    lines = [[*(word() for _ in range(15)), *passage, *(word() for _ in range(15))] for _ in range(80)]
+    lines += [base] + [[*base[:i], word(), *base[i + 1 :]] for i in range(0, 30, 2)]
+    assert removed(spark, [" ".join(w) for w in lines]) == set(range(81, 96))
+
+
 def test_fuzzy_lines_edges(spark):
     """Null ids, shared ids, ties, very long lines and chains."""
     long = " ".join(word() for _ in range(20_000))
