@@ -1,6 +1,7 @@
 import hashlib
 import random
 import struct
+import time
 from collections import Counter
 
 import pytest
@@ -252,6 +253,23 @@ def test_fuzzy_lines_edges(spark):
     assert line_dedup.without_repeats(df).columns == df.columns
 
 
+def test_lines_leave_no_shuffle_files(spark):
+    """What the tables of a run shuffled is gone once they are written."""
+    files = lambda: {str(f): f.length() for f in (all_files.apply(i) for i in range(all_files.size())) if "shuffle_" in f.getName()}
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    all_files = disk.getAllFiles()
+    before = set(files())
+    lines = [" ".join(word() for _ in range(12)) for _ in range(2000)]
+    line_dedup.repeated_lines(docs(spark, lines + lines[:500]), least=1)
+    for _ in range(20):  # they are deleted in the background
+        all_files = disk.getAllFiles()
+        left = sum(n for f, n in files().items() if f not in before)
+        if left < 20_000:
+            break
+        time.sleep(0.5)
+    assert left < 20_000
+
+
 def brute_bounds(hist, k):
     from itertools import combinations
 
