@@ -239,6 +239,21 @@ def test_fuzzy_lines_with_a_common_passage(spark):
     assert removed(spark, [" ".join(w) for w in lines]) == set(range(81, 96))
 
 
+def test_fuzzy_lines_with_a_passage_at_other_places(spark, monkeypatch):
+    """No alignment can match a passage at the beginning of one line with that at the end of another, so such pairs are not compared."""
+    passage, pairs, compared = [word() for _ in range(20)], [], line_dedup.compared
+    lines = [x for _ in range(30) for x in ([*passage, *(word() for _ in range(24))], [*(word() for _ in range(24)), *passage])]
+    lines += [[*lines[i][:30], word(), *lines[i][31:]] for i in range(10)]
+
+    def seen(those, *args):
+        pairs.append(those.count())
+        return compared(those, *args)
+
+    monkeypatch.setattr(line_dedup, "compared", seen)
+    assert removed(spark, [" ".join(w) for w in lines]) == set(range(60, 70))
+    assert sum(pairs) < 0.7 * 70 * 69 / 2
+
+
 def test_fuzzy_lines_edges(spark):
     """Null ids, shared ids, ties, very long lines and chains."""
     long = " ".join(word() for _ in range(20_000))
