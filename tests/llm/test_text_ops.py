@@ -254,6 +254,18 @@ def test_fuzzy_lines_with_a_passage_at_other_places(spark, monkeypatch):
     assert sum(pairs) < 0.7 * 70 * 69 / 2
 
 
+def test_pairs_of_several_buckets_meet_once(spark):
+    """All pairs of other components and neighbouring steps that share a bucket, however many they share, whatever its main component is."""
+    own = random.Random(3)
+    nodes = {i: (own.randint(1, 6), own.randint(0, 3), own.sample(range(9), own.randint(2, 5))) for i in range(40)}
+    main = {k: own.randint(1, 6) for k in range(9)}
+    rows = [(k, step, i, c, main[k], keys) for i, (c, step, keys) in nodes.items() for k in keys]
+    df = spark.createDataFrame(rows, "key long, step byte, node long, c long, main long, keys array<long>")
+    got = [(r["a"], r["b"]) for r in line_dedup.apart(df, F.lit(True), F.lit(True)).collect()]
+    want = {(i, j) for i, x in nodes.items() for j, y in nodes.items() if i < j and x[0] != y[0] and abs(x[1] - y[1]) < 2 and set(x[2]) & set(y[2])}
+    assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_fuzzy_lines_edges(spark):
     """Null ids, shared ids, ties, very long lines and chains."""
     long = " ".join(word() for _ in range(20_000))
