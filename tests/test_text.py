@@ -79,3 +79,8 @@ def test_config_ranges_and_hash():
     assert (c.bm25_k1, c.fuzzy, c.max_expansions, c.fields) == (3.0, "auto", 1, ("title",))
     assert SearchConfig().pipeline_hash() == SearchConfig(weight_title=9.0, post_types=("page", "post")).pipeline_hash()
     assert SearchConfig().pipeline_hash() != SearchConfig(stemming=True).pipeline_hash()
+
+
+def test_general_entities_need_their_semicolon(spark):
+    text = "a &amp b &ampc; &eacute;t&eacute &amp;lt; &#233; &#233 &nosuch; &&&amp"
+    assert one(spark, tx.clean(F.col("c0"), general=True), text) == "a &amp b &ampc; ét&eacute &lt; é &#233 &nosuch; &&&amp"
