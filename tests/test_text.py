@@ -1,10 +1,12 @@
+import re
+
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lumindex.config import SearchConfig
-from lumindex.functions import stem
+from lumindex.functions import analyze, stem
 from lumindex.functions import text as tx
 
 
@@ -84,3 +86,22 @@ def test_config_ranges_and_hash():
 def test_general_entities_need_their_semicolon(spark):
     text = "a &amp b &ampc; &eacute;t&eacute &amp;lt; &#233; &#233 &nosuch; &&&amp"
     assert one(spark, tx.clean(F.col("c0"), general=True), text) == "a &amp b &ampc; ét&eacute &lt; é &#233 &nosuch; &&&amp"
+
+
+def test_one_pass_gives_the_terms_of_the_columns(spark):
+    texts = [
+        "<p>one</p><P>Two</P> <!-- wp:p {\"a\":1} -->x<!-- /wp:p --> <ſcript>kept</ſcript><SCRIPT>gone</script>", "Æther straße ÉTÉ e\u0301te\u0301 İstanbul ΑΣ.Β ΟΔΟΣ", "the a b cc it's &amp;lt; &quot;q&quot; <b",
+        "я" * 60 + " " + "x" * 70 + " " + "é" * 70 + " 😀" * 20, "a\u00a0b\u2003c\u200bd\u0085e\x1cf ࡰq \U0001f9ff", "[gone x]cut[/gone] [gones] <!-- open", "$100 c++ a+b foo_bar", "", " \n",
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "i long, s string")
+    for cfg in (SearchConfig(shortcodes=("gone",)), SearchConfig(stopwords_mode="none", min_token_length=1)):
+        codes, known = [re.compile(rf"(?s)\[{n}\b[^\]]*\](?:.*?\[/{n}\])?", re.ASCII) for n in cfg.shortcodes], set(cfg.stopwords())
+        separators = analyze.Separators(dict.fromkeys(map(ord, analyze.unknown(spark)), 32))
+        for row in df.select("s", tx.tokens(tx.clean(F.col("s"), cfg.shortcodes), cfg).alias("want")).collect():
+            got = [analyze.clamp(t) for t in analyze.words(analyze.clean(row["s"], codes, False), separators) if len(t) >= cfg.min_token_length and t not in known]
+            assert got == row["want"]
+
+
+def test_clamp_looks_at_its_text_once(spark):
+    plan = spark.range(1).select(tx.clamp(F.replace(F.col("id").cast("string"), F.lit("1"), F.lit("2"))).alias("t"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("replace(") == 1
