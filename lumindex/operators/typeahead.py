@@ -14,6 +14,7 @@ from ..sources import corpus
 from . import index as ix
 from . import search
 
+KEPT: list[ix.Index] = []  # the last index of titles
 CAP = 10_000  # titles in the payload, newest first: a limit that is the feature
 
 
@@ -40,8 +41,13 @@ def title_index(posts: DataFrame, cfg: SearchConfig) -> tuple[ix.Index, SearchCo
 
 
 def suggest(queries: DataFrame, posts: DataFrame, cfg: SearchConfig) -> DataFrame:
-    """Titles that match by prefix or typo, best first, for queries long enough."""
+    """Titles that match by prefix or typo, best first, for queries long enough. The index of titles is kept until the next call."""
     index, only = title_index(posts, cfg)
+    while KEPT:
+        kept = KEPT.pop()
+        if kept.terms.sparkSession is posts.sparkSession:
+            kept.free()
+    KEPT.append(index := index.cached())
     long = queries.where(F.char_length(F.trim("q")) >= max(1, cfg.min_token_length))
     return search.search(long, index, posts, only).where(F.col("rank") <= cfg.typeahead_max).select("query_id", "rank", F.col("post_id").alias("id"))
 

@@ -203,3 +203,34 @@ def test_statistics_follow_deltas(spark, posts, names, index):
     assert after.stats.first().asDict() == ix.build(now, names, CFG).stats.first().asDict()
     gone = ix.upsert(index, posts.select("post_id"), posts.where("false"), names, CFG).stats.first()
     assert (gone["doc_count"], gone["terms"], gone["field_tokens"], gone["field_docs"]) == (0, 0, {}, {})
+
+
+def test_rows_that_share_an_id_are_one_post(spark):
+    rows = [post(1, "red two", "alpha beta"), post(1, "red three", "alpha"), post(2, "two", "beta"), post(2, "four", "beta gamma beta"), post(3, "red"), post(None, "red"), post(None, "red")]
+    index = ix.build(spark.createDataFrame(rows, POSTS), spark.createDataFrame([(1, "category", "cat")], "post_id long, taxonomy string, name string"), CFG)
+    got = {(r["term"], r["post_id"], r["field"], r["dl"]): r["tf"] for r in index.postings.collect()}
+    assert got[("red", 1, 0, 2)] == 2 and got[("alpha", 1, 1, 2)] == 1 and got[("alpha", 1, 1, 1)] == 1 and got[("beta", 2, 1, 3)] == 2 and got[("cat", 1, 3, 1)] == 2 and got[("red", None, 0, 1)] == 2
+    # The same by what the postings hold, without marks.
+    assert {tuple(r) for r in index.terms.collect()} == {tuple(r) for r in ix.vocabulary(index.postings).collect()}
+    assert index.stats.first() == ix.statistics(index.postings, index.terms).first()
+
+
+def test_terms_are_counted_without_a_shuffle(spark, posts, names):
+    marked = ix.build(posts, names, CFG).marked._jdf.queryExecution().optimizedPlan().toString()
+    assert marked.count("MapInArrow") == 1 and "Aggregate [post_id#" not in marked.partition("MapInArrow")[0] and "regexp_replace" not in marked
+
+
+def test_prefixes_are_chosen_once_for_queries_that_share_a_token(spark, index):
+    cfg = replace(CFG, max_expansions=1)
+    tokens = spark.createDataFrame([(1, 0, "pho", True), (2, 3, "pho", True), (3, 0, "po", True), (4, 0, "pho", False)], "query_id long, group_ix int, token string, last boolean")
+    found = search.prefix(tokens, index.terms, cfg)
+    assert sorted(map(tuple, found.collect())) == [(1, 0, "photo", 2), (2, 3, "photo", 2), (3, 0, "portrait", 2)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window [row_number() windowspecdefinition(token#") == 1
+
+
+def test_search_does_not_shuffle_postings(spark, index, posts):
+    plan = search.scores(search.expand(search.query_tokens(spark.createDataFrame([(1, "photo")], "query_id long, q string"), CFG), index.terms, CFG), index, CFG)
+    assert plan.count() > 0
+    found = search.search(spark.createDataFrame([(1, "photo studio")], "query_id long, q string"), index, posts, CFG)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("rightHint=(strategy=broadcast)") >= 2
