@@ -234,3 +234,29 @@ def test_search_does_not_shuffle_postings(spark, index, posts):
     assert plan.count() > 0
     found = search.search(spark.createDataFrame([(1, "photo studio")], "query_id long, q string"), index, posts, CFG)
     assert found._jdf.queryExecution().optimizedPlan().toString().count("rightHint=(strategy=broadcast)") >= 2
+
+
+def test_best_of_shards_are_the_first_of_all_hits(spark):
+    from lumindex.operators import shards
+
+    words = ["ant", "bee", "cat", "dog", "elk", "fox"]
+    rows = [post(i, " ".join(words[j] for j in range(6) if i >> j & 1), "bee " * (i % 5), password="x" * (i % 13 == 0), day=1 + i % 9) for i in range(1, 64)]
+    posts = spark.createDataFrame([*rows, post(9, "ant copy", day=20), post(10, "hidden twin", password="x", day=21), post(None, "ant")], POSTS)
+    index, cfg = ix.build(posts, spark.createDataFrame([], "post_id long, taxonomy string, name string"), CFG), replace(CFG, fuzzy="off", prefix_last=False)
+    queries = spark.createDataFrame([(1, "ant bee"), (2, "ant nosuch"), (3, "nosuch"), (4, "the"), (5, "cat dog elk fox"), (6, "ant bee")], "query_id long, q string")
+    for c in (cfg, replace(cfg, or_fallback=False), replace(cfg, weight_title=0.0)):
+        got = shards.top(queries, index, posts, c, 4)
+        want = search.search(queries, index, posts, c).where("rank <= 4").select(*got.columns)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    plan = shards.top(queries, index, posts, cfg, 4)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan.partition("Window")[2] and "Aggregate [query_id" not in plan  # hits meet in no exchange
+
+
+def test_shards_keep_what_rounding_may_lift():
+    import numpy as np
+
+    from lumindex.operators import shards
+
+    scores = np.array([1.0, 1.0000004999999, 1.0000005, 0.5, 1.0, 1.0] + [0.1] * 20)
+    kept = set(shards.best(scores, np.zeros(26), np.arange(26), 2))
+    assert {1, 2, 4, 5} <= kept and 3 not in kept
